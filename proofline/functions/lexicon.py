@@ -28,14 +28,17 @@ LEXICON = {
     "here are some": 1.0, "let's explore": 2.0, "let's dive": 2.0, "key takeaways": 2.0, "actionable insights": 2.5,
     "best practices": 1.0, "harness the power": 3.0, "harnessing the power": 3.0,
 }
+# a word character is a letter, a number or an underscore; marks and joiners are none
+_W = r"[\p{L}\p{N}_]"
+_IN = r"[\p{L}\p{N}_'’-]"
 # name, pattern in Java's dialect, weight
 STRUCTURAL = (
-    ("not_only_but_also", r"(?Uis)\bnot only\b.{1,120}?\bbut also\b", 2.0),
-    ("from_x_to_y_frame", r"(?Ui)\bfrom \w+(?: \w+)? to \w+(?: \w+)?, ", 1.0),
+    ("not_only_but_also", rf"(?Uis)(?<!{_W})not only(?!{_W}).{{1,120}}?(?<!{_W})but also(?!{_W})", 2.0),
+    ("from_x_to_y_frame", rf"(?Ui)(?<!{_W})from {_W}+(?: {_W}+)? to {_W}+(?: {_W}+)?, ", 1.0),
     ("bullet_with_bold_lead", r"(?Umd)^\s*[-*•]\s*\*\*[^*]+\*\*[:,]", 1.5),
     ("numbered_bold_lead", r"(?Umd)^\s*\d+\.\s*\*\*[^*]+\*\*[:,]", 1.5),
     ("colon_triad_header", r"(?Umd)^#{1,4}\s", 0.5),
 )
-TRIAD = r"(?Ui)\b\w[\w'’-]*, \w[\w'’-]*(?: \w[\w'’-]*)?, and \w[\w'’-]*"
+TRIAD = rf"(?Ui)(?<!{_W}){_W}{_IN}*, {_W}{_IN}*(?: {_W}{_IN}*)?, and {_W}{_IN}*"
 TRIADS_PER_SENTENCE, RATE_SCALE, SCORE_FLOOR = 0.25, 18.0, 0.30
 # -------------------------------------------------------------------------------------------------------------
