@@ -8,6 +8,7 @@ that looks only for phrases a text contains.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -85,6 +86,14 @@ def lexicon_hits(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: [{"phrase": p, "n": n, "weight": LEXICON[p]} for p, n in claim(t.lower()).items()] if t else [])
 
 
+@pandas_udf(_HITS)
+def normalized_lexicon_hits(texts: pd.Series) -> pd.Series:
+    """Hits of mapped texts after NFKC. One Python function on top of another would make Spark inline all expressions
+    between them, so that this one does both."""
+    form = lambda t: unicodedata.normalize("NFKC", t).lower()
+    return texts.map(lambda t: [{"phrase": p, "n": n, "weight": LEXICON[p]} for p, n in claim(form(t)).items()] if t else [])
+
+
 def structural_hits(text: Column) -> dict[str, Column]:
     return {name: F.regexp_count(text, F.lit(java)) for name, java, _ in STRUCTURAL}
 
@@ -93,10 +102,11 @@ def triads(text: Column) -> Column:
     return F.regexp_count(text, F.lit(TRIAD))
 
 
-def phrases(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with phrases_score, phrases_reliable and the counts. It needs the columns of ``text.parsed``."""
+def phrases(df: DataFrame, text: str = "text", lexicon: str | None = None) -> DataFrame:
+    """``df`` with phrases_score, phrases_reliable and the counts. It needs the columns of ``text.parsed``; ``lexicon``
+    may name a column that holds the lexicon's hits already."""
     t = F.col(text)
-    df = df.withColumns({"lexicon": lexicon_hits(t), **structural_hits(t), "triads": triads(t), "n_words": F.size("tokens")})
+    df = df.withColumns({"lexicon": F.col(lexicon) if lexicon else lexicon_hits(t), **structural_hits(t), "triads": triads(t), "n_words": F.size("tokens")})
     lexical = F.aggregate("lexicon", F.lit(0.0), lambda a, h: a + h["n"] * h["weight"])
     structural = sum((F.col(name) * weight for name, _, weight in STRUCTURAL), F.lit(0.0))
     over = F.col("triads") - F.lit(TRIADS_PER_SENTENCE) * F.greatest(F.size("sents"), F.lit(1))
@@ -113,9 +123,9 @@ def top_hits(lexicon: Column, k: int = 12) -> Column:
     return F.slice(F.array_sort(F.transform(lexicon, key)), 1, k)
 
 
-def scored(df: DataFrame, text: str = "text") -> DataFrame:
+def scored(df: DataFrame, text: str = "text", lexicon: str | None = None) -> DataFrame:
     """``df`` with all native detectors' columns; the text is parsed once."""
-    return phrases(stylometry(T.parsed(df, text), text), text)
+    return phrases(stylometry(T.parsed(df, text), text), text, lexicon)
 
 
 # --- detectors as plug-ins ---------------------------------------------------------------------------------

@@ -95,19 +95,25 @@ def change_point(scores: Column, least: int = MIN_SEGMENT, delta: float = MIN_DE
     """Struct (cut, delta, mean_before, mean_after, is_significant) of the split with the largest two-sample statistic,
     the first if several are equal to 12 places; null with fewer than twice ``least`` scores."""
     n = F.size(scores)
-    cuts = F.sequence(F.lit(least), n - least)
-    prefix = F.aggregate(
-        scores, F.array(F.lit(0.0)), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v))
-    )  # sums in index order
-
-    def at(cut: Column) -> Column:
-        upto = F.element_at(prefix, cut + 1)
-        before, after = upto / cut, (F.element_at(prefix, -1) - upto) / (n - cut)
-        stat = F.round(F.abs(after - before) * F.sqrt(cut * (n - cut) / n), 12)
-        return F.struct((-stat).alias("by"), cut.alias("cut"), (after - before).alias("delta"), before.alias("mean_before"), after.alias("mean_after"))
-
-    best = F.array_min(F.transform(cuts, at))
-    return F.when(
-        n >= 2 * least,
-        F.struct(best["cut"].alias("cut"), best["delta"].alias("delta"), best["mean_before"].alias("mean_before"), best["mean_after"].alias("mean_after"), (F.abs(best["delta"]) >= delta).alias("is_significant")),
+    start = F.struct(F.lit(0).alias("i"), F.lit(0.0).alias("sum"), F.lit(-1.0).alias("stat"), F.lit(0).alias("cut"), F.lit(0.0).alias("before"), F.lit(0.0).alias("after"))
+
+    def scan(whole: Column) -> Column:
+        """One pass in index order, with the sum of all scores at hand."""
+
+        def step(acc: Column, value: Column) -> Column:
+            i, upto = acc["i"] + 1, acc["sum"] + value
+            before, after = upto / i, F.coalesce(F.try_divide(whole - upto, n - i), F.lit(0.0))
+            stat = F.round(F.abs(after - before) * F.sqrt(i * (n - i) / n), 12)
+            better = (i >= least) & (i <= n - least) & (stat > acc["stat"])
+            pick = lambda new, old: F.when(better, new).otherwise(acc[old]).alias(old)
+            return F.struct(i.alias("i"), upto.alias("sum"), pick(stat, "stat"), pick(i, "cut"), pick(before, "before"), pick(after, "after"))
+
+        return F.aggregate(scores, start, step)
+
+    best = F.element_at(F.transform(F.array(T.total(scores)), scan), 1)  # an array of one, so that the sum is made once
+    shift = lambda b: b["after"] - b["before"]
+    found = F.transform(
+        F.array(best),
+        lambda b: F.struct(b["cut"].alias("cut"), shift(b).alias("delta"), b["before"].alias("mean_before"), b["after"].alias("mean_after"), (F.abs(shift(b)) >= delta).alias("is_significant")),
     )
+    return F.when(n >= 2 * least, F.element_at(found, 1))

@@ -18,13 +18,13 @@ from ..operators.supervised import LogisticModel
 CORROBORATORS = ("phrases", "stylometry")
 
 
-def _scores(df: DataFrame, text: str, model: LogisticModel | None) -> DataFrame:
+def _scores(df: DataFrame, text: str, model: LogisticModel | None, lexicon: str | None = None) -> DataFrame:
     """``df`` with the corroborators' scores, ``primary`` (null without a model or without words), ``n_words``."""
-    scored = detectors.scored(df, text)
+    scored = detectors.scored(df, text, lexicon)
     if model is None:
         return scored.withColumn("primary", F.lit(None).cast("double"))
     made = features.with_features(df, text)
-    base = detectors.scored(made, text).withColumns({f"detector_{n}": F.col(f"{n}_score") for n in CORROBORATORS})
+    base = detectors.scored(made, text, lexicon).withColumns({f"detector_{n}": F.col(f"{n}_score") for n in CORROBORATORS})
     return base.withColumn("primary", F.when(F.col("n_words") > 0, model.score()))
 
 
@@ -35,16 +35,18 @@ def blended() -> Column:
 def score_texts(df: DataFrame, text: str = "text", model: LogisticModel | None = None, defended: bool = True) -> DataFrame:
     """``df`` with ``score``; ``defended=False`` skips normalisation."""
     kept = df.columns
-    used = df.withColumn("_t", normalize.normalized(F.col(text)) if defended else F.col(text))
-    return _scores(used, "_t", model).select(*kept, blended().alias("score"))
+    hits = detectors.normalized_lexicon_hits(normalize.mapped(F.col(text))) if defended else detectors.lexicon_hits(F.col(text))
+    used = df.withColumns({"_t": normalize.normalized(F.col(text)) if defended else F.col(text), "_hits": hits})
+    return _scores(used, "_t", model, "_hits").select(*kept, blended().alias("score"))
 
 
 def analyze(df: DataFrame, calibrations: DataFrame, key: str = "doc_id", text: str = "text", language: str = "language", model: LogisticModel | None = None, provenance: str | None = None, want_spans: bool = True) -> DataFrame:
     """One row per text with its scores, flags and verdict. Calibrated thresholds are for normalised texts; a null
     language has no calibration."""
     base = df.select(key, F.col(language).alias("language"), F.col(text).alias("_raw"), (F.col(provenance) if provenance else F.lit(None).cast("string")).alias("provenance"))
+    base = base.withColumn("_hits", detectors.normalized_lexicon_hits(normalize.mapped(F.col("_raw"))))
     base = normalize.with_report(base, "_raw").drop("_raw")
-    scored = _scores(base, "clean", model)
+    scored = _scores(base, "clean", model, "_hits")
     gap = combine.ood_gap(F.col("primary"), [F.col(f"{n}_score") for n in CORROBORATORS])
     scored = scored.select(
         key, "language", "provenance", "is_suspicious", "homoglyphs_replaced", "invisibles_removed", "n_words", "primary", *[f"{n}_score" for n in CORROBORATORS],
@@ -53,7 +55,8 @@ def analyze(df: DataFrame, calibrations: DataFrame, key: str = "doc_id", text: s
     if want_spans:
         name = CORROBORATORS[0] if model is None else "primary"
         score = detectors.detector(name) if model is None else lambda d, t: _scores(d.drop("tokens", "sents", "lengths"), t, model).withColumn("primary_score", F.coalesce("primary", F.lit(0.5)))
-        s = spans.span_scores(base.select(key, "clean"), score, name, key, "clean")
+        # the explode keeps Spark from inlining the Python function that made ``clean`` into all that is built on it
+        s = spans.span_scores(base.select(key, F.explode(F.array("clean")).alias("clean")), score, name, key, "clean")
         ok = spans.reliable(F.col("n_windows"), F.col("total_words"))
         s = s.select(key, F.when(ok, spans.ai_word_fraction(F.col("scores"), F.col("n_words_of"))).alias("ai_word_fraction"), F.when(ok, spans.change_point(F.col("scores"))).alias("change_point"))
         scored = scored.join(s, key, "left")

@@ -155,8 +155,8 @@ def groups(column: str, name: str = "g", source: str = "u") -> str:
     least(1.0, (fpr + 3.8416::DOUBLE / (2 * n) + 1.96::DOUBLE * sqrt(fpr * (1 - fpr) / n + 3.8416::DOUBLE / (4.0 * n * n))) / (1 + 3.8416::DOUBLE / n)) AS high FROM {name}1)"""
 
 
-WIDE = "w AS (SELECT doc_id, run_no, max(score) FILTER (detector = 'binoculars') AS binoculars, max(score) FILTER (detector = 'perplexity') AS perplexity, max(score) FILTER (detector = 'phrases') AS phrases, max(score) FILTER (detector = 'stylometry') AS stylometry FROM u GROUP BY doc_id, run_no)"
-_DET = (("binoculars", 3.0), ("perplexity", 2.5), ("phrases", 1.0), ("stylometry", 1.0))
+WIDE = "w AS (SELECT doc_id, run_no, max(score) FILTER (detector = 'ensemble') AS ensemble, max(score) FILTER (detector = 'supervised') AS supervised, max(score) FILTER (detector = 'phrases') AS phrases, max(score) FILTER (detector = 'stylometry') AS stylometry FROM u GROUP BY doc_id, run_no)"
+_DET = (("ensemble", 1.0), ("phrases", 1.0), ("stylometry", 1.0), ("supervised", 1.0))
 
 
 def wmean(weights: dict[str, float]) -> str:
@@ -189,7 +189,7 @@ JOINED = "j AS (SELECT h.*, c.language IS NOT NULL AS calibrated, c.alpha, c.glo
 PAIRED = f"""d AS (SELECT pair_id, 0 AS k, original AS text FROM demo_evasion_pairs WHERE original IS NOT NULL UNION ALL SELECT pair_id, 1, rephrased FROM demo_evasion_pairs WHERE rephrased IS NOT NULL), {TEXTS}, {STYLE},
 pr AS (SELECT pair_id, max(stylometry_score) FILTER (k = 0) AS score_original, max(stylometry_score) FILTER (k = 1) AS score_rephrased FROM st GROUP BY pair_id)"""
 
-STAND_IN = f"si AS (SELECT doc_id, list_transform(sents, lambda s: {n_words('s')}) AS nw, list_transform(sents, lambda s: least(1.0::DOUBLE, {n_words('s')} / 40.0::DOUBLE)) AS sc FROM se)"
+STAND_IN = f"si AS (SELECT doc_id, list_transform(sents, lambda s: {n_words('s')}) AS nw, list_transform(sents, lambda s: least(1.0::DOUBLE, {n_words('s')} / 37.0::DOUBLE)) AS sc FROM se)"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -211,7 +211,7 @@ def oracle_sql() -> dict[str, str]:
     q["sentence_lengths"] = texts("SELECT doc_id, array_to_string(lengths, ' ') AS lengths FROM le")
     q["mean_stdev_cv"] = texts(f"SELECT doc_id, {r6(MEAN)} AS mean, {r6(SD)} AS sd, {r6(f'CASE WHEN ({MEAN}) = 0 THEN 0 ELSE ({SD}) / ({MEAN}) END')} AS cv FROM le")
     q["mattr"] = f"WITH t AS (SELECT doc_id, {words('text')} AS tokens FROM documents WHERE text IS NOT NULL) SELECT doc_id, {r6(mattr(50))} AS mattr FROM t"
-    q["mattr_window"] = f"WITH t AS (SELECT doc_id, {words('text')} AS tokens FROM documents WHERE text IS NOT NULL) SELECT doc_id, {r6(mattr(10))} AS mattr_10, {r6(mattr(25))} AS mattr_25 FROM t"
+    q["mattr_window"] = f"WITH t AS (SELECT doc_id, {words('text')} AS tokens FROM documents WHERE text IS NOT NULL) SELECT doc_id, {r6(mattr(7))} AS mattr_7, {r6(mattr(21))} AS mattr_21 FROM t"
     q["logistic"] = f"WITH {SCORED} SELECT doc_id, detector, CAST(run_no AS BIGINT) AS run_no, {r6('1 / (1 + exp(-(score - 0.5::DOUBLE) * 8))')} AS p FROM u"
     q["softplus"] = f"WITH {SCORED}, v AS (SELECT *, (score - 0.5::DOUBLE) * 100 AS x FROM u) SELECT doc_id, detector, CAST(run_no AS BIGINT) AS run_no, {r6('CASE WHEN x > 30 THEN x ELSE ln(1 + exp(x)) END')} AS s FROM v"
 
@@ -245,8 +245,8 @@ def oracle_sql() -> dict[str, str]:
     q["ens_weighted"] = wide + f"{r6(wmean(dict(_DET)))} AS preset, {r6(wmean({n: 1.0 for n, _ in _DET}))} AS plain, {r6(wmean({n: 0.0 for n, _ in _DET}))} AS zero FROM w"
     q["verdict_band"] = wide + f"{band('coalesce(stylometry, 0.5::DOUBLE)', 'stylometry IS NOT NULL')} AS band FROM w"
     pair = wmean({"phrases": 1.0, "stylometry": 1.0})
-    q["blend"] = wide + f"{r6(f'CASE WHEN binoculars IS NULL THEN {pair} ELSE 0.6::DOUBLE * binoculars + 0.4::DOUBLE * ({pair}) END')} AS blended, binoculars IS NOT NULL AS primary_usable FROM w"
-    gap = "CASE WHEN binoculars IS NULL THEN 0.0::DOUBLE ELSE abs(binoculars - (coalesce(phrases, 0.5::DOUBLE) + coalesce(stylometry, 0.5::DOUBLE)) / 2) END"
+    q["blend"] = wide + f"{r6(f'CASE WHEN supervised IS NULL THEN {pair} ELSE 0.6::DOUBLE * supervised + 0.4::DOUBLE * ({pair}) END')} AS blended, supervised IS NOT NULL AS primary_usable FROM w"
+    gap = "CASE WHEN supervised IS NULL THEN 0.0::DOUBLE ELSE abs(supervised - (coalesce(phrases, 0.5::DOUBLE) + coalesce(stylometry, 0.5::DOUBLE)) / 2) END"
     q["ood_flag"] = wide + f"{r6(gap)} AS gap, {gap} >= 0.45::DOUBLE AS is_ood FROM w"
     q["provenance_combine"] = f"""WITH {SCORED}, sg AS (SELECT doc_id, {STATUS} AS status FROM documents) SELECT u.doc_id, status, {r6("CASE status WHEN 'verified_ai' THEN greatest(score, 0.99::DOUBLE) WHEN 'invalid' THEN greatest(score, least(1.0::DOUBLE, score + 0.10::DOUBLE)) ELSE score END")} AS combined
         FROM u LEFT JOIN sg USING (doc_id) WHERE detector = 'stylometry' AND run_no = 1"""

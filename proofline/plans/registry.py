@@ -193,7 +193,7 @@ def mattr(spark, folder):
 def mattr_window(spark, folder):
     """The moving window at other widths."""
     w = docs(spark, folder).filter("text is not null").select("doc_id", T.words(F.col("text")).alias("w"))
-    return w.select("doc_id", T.mattr(F.col("w"), 10).alias("mattr_10"), T.mattr(F.col("w"), 25).alias("mattr_25"))
+    return w.select("doc_id", T.mattr(F.col("w"), 7).alias("mattr_7"), T.mattr(F.col("w"), 21).alias("mattr_21"))
 
 
 @query
@@ -281,7 +281,7 @@ def _wide(spark, folder) -> DataFrame:
     return scored(spark, folder).groupBy("doc_id", "run_no").pivot("detector", DETECTORS).agg(F.max("score"))
 
 
-DETECTORS = ["binoculars", "perplexity", "phrases", "stylometry"]
+DETECTORS = ["ensemble", "phrases", "stylometry", "supervised"]
 
 
 @query
@@ -313,13 +313,13 @@ def verdict_bands(spark, folder):
 
 @query
 def blend(spark, folder):
-    """Binoculars as the primary; it is null, so unusable, where it has no score."""
-    return _wide(spark, folder).select("doc_id", "run_no", combine.blend(F.col("binoculars"), {n: F.col(n) for n in ("phrases", "stylometry")}).alias("blended"), F.col("binoculars").isNotNull().alias("primary_usable"))
+    """The supervised score as the primary; it is null, so unusable, where it has none."""
+    return _wide(spark, folder).select("doc_id", "run_no", combine.blend(F.col("supervised"), {n: F.col(n) for n in ("phrases", "stylometry")}).alias("blended"), F.col("supervised").isNotNull().alias("primary_usable"))
 
 
 @query
 def ood_flag(spark, folder):
-    gap = combine.ood_gap(F.col("binoculars"), [F.coalesce(F.col(n), F.lit(0.5)) for n in ("phrases", "stylometry")])
+    gap = combine.ood_gap(F.col("supervised"), [F.coalesce(F.col(n), F.lit(0.5)) for n in ("phrases", "stylometry")])
     return _wide(spark, folder).select("doc_id", "run_no", gap.alias("gap"), combine.is_ood(gap).alias("is_ood"))
 
 
@@ -591,9 +591,9 @@ def robustness(spark, folder):
 
 
 def _stand_in(df: DataFrame) -> DataFrame:
-    """Sentence scores that any engine can make: a sentence's words over 40, at most 1."""
+    """Sentence scores that any engine can make: a sentence's words over 37, at most 1."""
     lengths = F.transform("sents", T.n_words)
-    return df.withColumn("n_words_of", lengths).withColumn("scores", F.transform("n_words_of", lambda n: F.least(F.lit(1.0), n / F.lit(40.0))))
+    return df.withColumn("n_words_of", lengths).withColumn("scores", F.transform("n_words_of", lambda n: F.least(F.lit(1.0), n / F.lit(37.0))))
 
 
 @query
