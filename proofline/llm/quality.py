@@ -90,7 +90,7 @@ def judged(stats: DataFrame) -> DataFrame:
         "bullet_lines": c("bullet_line_share") > MAX_BULLET_LINES,
         "ellipsis_lines": c("ellipsis_line_share") > MAX_ELLIPSIS_LINES,
         "alphabetic_words": c("alphabetic_word_share") < MIN_ALPHABETIC_WORDS,
-        "stop_words": c("n_stop_words") < MIN_STOP_WORDS,
+        "stop_words": (c("n_words") > 0) & (c("n_stop_words") < MIN_STOP_WORDS),
         "terminal_lines": c("terminal_line_share") < MIN_TERMINAL_LINES,
         "short_lines": c("short_line_share") > MAX_SHORT_LINES,
         "common_words": c("common_word_share") < MIN_COMMON_SHARE,
