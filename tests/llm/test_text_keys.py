@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from proofline.llm import canon, exact_duplicates, lookalikes
 
 ALIKE = [
-    ("Plain words.", "Рlаin wоrds."), ("full width", "ｆｕｌｌ ｗｉｄｔｈ"), ("café", "café"), ("no space", "no space"),
-    ("soft hyphen", "so­ft hy​phen"), ("find fly", "ﬁnd ﬂy"), ("Ångström", "Ångström"), ("a\nb", "a\r\nb"), ("bold", "\U0001d41b\U0001d428\U0001d425\U0001d41d"),
+    ("Plain words.", "\u0420l\u0430in w\u043erds."), ("full width", "\uff46\uff55\uff4c\uff4c \uff57\uff49\uff44\uff54\uff48"), ("caf\u00e9", "cafe\u0301"), ("no space", "no\u00a0space"),
+    ("soft hyphen", "so\u00adft hy\u200bphen"), ("find fly", "\ufb01nd \ufb02y"), ("\u00c5ngstr\u00f6m", "\u212bngstr\u00f6m"), ("a\nb", "a\r\nb"), ("bold", "\U0001d41b\U0001d428\U0001d425\U0001d41d"),
+    ("caf\u00e9", "caf\u0435\u0301"), ("thin  gap", "thin\u2009\u2002gap"),
 ]
-APART = [("cafe", "café"), ("Case", "case"), ("a b", "a  b"), ("a-b", "a b"), ("x²", "x2"), ("\U0001f468‍\U0001f33e", "\U0001f468\U0001f33e"), ("a\nb", "a b")]
+APART = [("cafe", "caf\u00e9"), ("Case", "case"), ("a b", "a  b"), ("a-b", "a b"), ("x\u00b2", "x2"), ("\U0001f468\u200d\U0001f33e", "\U0001f468\U0001f33e"), ("a\nb", "a b")]
 
 
 def _forms(spark, texts):
