@@ -132,15 +132,16 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     both = t / (1 + t)
     spark = classes.sparkSession
     rows = regions(classes, spark.sparkContext.broadcast(_counts(classes)), t)
-    part = lambda n, of: F.floor(n * F.lit(of.numerator) / F.lit(of.denominator))
     a, b = rows.alias("a"), rows.alias("b")
-    a = a.filter(F.col("pos") < F.col("n") - part(F.col("n"), 2 * both))
+    # The smaller set's window is shorter. The condition names both sides, so that it stays in the join and both sides
+    # read one and the same shuffle.
+    inner = f"least(a.pos, a.pos + b.pos) < a.n - (a.n * {(2 * both).numerator}) div {(2 * both).denominator}"
     need = f"(((a.n + b.n) * {both.numerator}) div {both.denominator} + 1)"
     far = " + ".join(f"bit_count(a.b{i} ^ b.b{i})" for i in range(4))
     met = a.join(
         b,
         F.expr(
-            f"a.run = b.run AND (a.n < b.n OR (a.n = b.n AND a.cid < b.cid)) AND b.n * {t.numerator} < a.n * {t.denominator} "
+            f"a.run = b.run AND {inner} AND (a.n < b.n OR (a.n = b.n AND a.cid < b.cid)) AND b.n * {t.numerator} < a.n * {t.denominator} "
             f"AND 1 + least(a.n - 1 - a.pos, b.n - 1 - b.pos) >= {need} AND {far} <= a.n + b.n - 2 * {need}"
         ),
     )
