@@ -62,32 +62,43 @@ def run_hashes(words: list[str], width: int, hashes: dict[str, int]) -> np.ndarr
     return np.unique(run.view(np.int64))
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
+
+
 def word_texts(records: DataFrame, text: str, rec: str, width: int) -> DataFrame:
     """(rec, words: digest of the word sequence, key: digest of the form of problem 4, loose: the words) of each record
-    that has at least one run. Words take far less room than run hashes, so they are what is kept and sent; the
-    hashes are made from them where they are used."""
+    that has at least one run. Words take far less room than run hashes, so they are what is sent until copies are
+    collapsed."""
     shaped = forms(records, text, {"words": "sha256(loose)", "key": "sha256(key)", "loose": "loose"}, [rec])
     return shaped.toDF("rec", "words", "key", "loose").filter(F.size(F.split("loose", " ")) >= width)
 
 
-def _runs(texts: pa.Array, width: int, hashes: _Hashes) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' run hashes one after the other, and where each text's end."""
-    lists = [run_hashes(t.split(), width, hashes) for t in texts.to_pylist()]
-    return np.concatenate(lists) if lists else np.empty(0, np.int64), np.cumsum([0, *map(len, lists)])
+def word_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(cid, words, runs: sorted run hashes) of (cid, words, loose)."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in batches:
+            runs = [run_hashes(t.split(), width, hashes) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(runs)], names=["cid", "words", "runs"])
 
-def _counts(classes: DataFrame, width: int) -> np.ndarray:
+    return texts.select("cid", "words", "loose").mapInArrow(work, "cid bigint, words string, runs array<bigint>")
+
+
+def _counts(classes: DataFrame) -> np.ndarray:
     """How many runs of all classes fall on each counter."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, hashes = np.zeros(COUNTERS, np.int64), _Hashes()
+        total = np.zeros(COUNTERS, np.int64)
         for b in batches:
-            total += np.bincount(_runs(b.column(0), width, hashes)[0] & (COUNTERS - 1), minlength=COUNTERS)
+            total += np.bincount(b.column(0).flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)]), pa.array(total[at[k : k + (1 << 16)]])], names=["counter", "n"])
 
-    rows = classes.select("loose").mapInArrow(work, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    rows = classes.select("runs").mapInArrow(work, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
@@ -97,33 +108,36 @@ def _floor(n: np.ndarray, of: Fraction) -> np.ndarray:
     return n * of.numerator // of.denominator
 
 
-def regions(classes: DataFrame, counts, t: Fraction, width: int) -> DataFrame:
+def regions(classes: DataFrame, counts, t: Fraction) -> DataFrame:
     """One row per class and region: run (the pivot), cid, n, pos (of the run in the class's order), b0..b3 (parity)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, hashes = counts.value, _Hashes()
+        table = counts.value
         for b in batches:
-            runs, ends = _runs(b.column(1), width, hashes)
+            ends = b.column(1).offsets.to_numpy()
+            runs = b.column(1).values.to_numpy()
             cids = b.column(0).to_numpy()
             which = np.repeat(np.arange(len(cids)), np.diff(ends))
+            runs = runs[ends[0] : ends[-1]]
             sizes = np.diff(ends)
             parity = (np.bincount(which * 256 + ((runs >> 40) & 255), minlength=256 * len(cids)) & 1).astype(np.uint8)
             bits = np.packbits(parity.reshape(-1, 256), axis=1).view(np.int64)
             order = np.lexsort((runs, table[runs & (COUNTERS - 1)], which))
-            pos = np.arange(len(runs)) - np.repeat(ends[:-1], sizes)
+            pos = np.arange(len(runs)) - np.repeat(ends[:-1] - ends[0], sizes)
             keep = pos < (sizes - _floor(sizes, t))[which]
             w, p = which[keep], pos[keep]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x) for x in (runs[order][keep], cids[w], sizes[w].astype(np.int32), p.astype(np.int32), bits[w, 0], bits[w, 1], bits[w, 2], bits[w, 3])], names=["run", "cid", "n", "pos", "b0", "b1", "b2", "b3"]
             )
 
-    return classes.select("cid", "loose").mapInArrow(work, "run bigint, cid bigint, n int, pos int, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+    return classes.select("cid", "runs").mapInArrow(work, "run bigint, cid bigint, n int, pos int, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
 
-def _named_in(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (cid, loose) that may be in a pair: ids are marked in a bitmap of fixed size, so that most texts of classes
+def _marked(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The (cid, runs) that may be in a pair: ids are marked in a bitmap of fixed size, so that most sets of classes
     without a candidate need not be sent. A false mark costs a row, no mark is ever missing."""
-    marks = pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).select(F.pmod(F.xxhash64("cid"), F.lit(COUNTERS)).alias("m")).distinct().toArrow().column(0).to_numpy()
+    mark = F.pmod(F.xxhash64("cid"), F.lit(COUNTERS))
+    marks = pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).select(mark.alias("m")).distinct().toArrow().column(0).to_numpy()
     table = np.zeros(COUNTERS, bool)
     table[marks] = True
     held = classes.sparkSession.sparkContext.broadcast(np.packbits(table))
@@ -131,34 +145,32 @@ def _named_in(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(held.value).astype(bool)
         for b in batches:
-            yield b.filter(pa.array(bits[b.column(2).to_numpy()])).select(["cid", "loose"])
+            yield b.filter(pa.array(bits[b.column(2).to_numpy()])).select(["cid", "runs"])
 
-    marked = classes.select("cid", "loose", F.pmod(F.xxhash64("cid"), F.lit(COUNTERS)).alias("m"))
-    return marked.mapInArrow(work, "cid bigint, loose string")
+    return classes.select("cid", "runs", mark.alias("m")).mapInArrow(work, "cid bigint, runs array<bigint>")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, width: int, both: Fraction) -> DataFrame:
-    """The pairs whose whole sets are similar, with the number of runs they share."""
-    texts = _named_in(classes, pairs)
-    joined = pairs.join(texts.toDF("cid_a", "a"), "cid_a").join(texts.toDF("cid_b", "b"), "cid_b").select("cid_a", "cid_b", "a", "b")
+def _wide_images(sets: DataFrame) -> DataFrame:
+    """(cid, n, i0..i15): a parity image of 1,024 bits, which tells long texts apart too."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            (x, xe), (y, ye) = _runs(batch.column(2), width, hashes), _runs(batch.column(3), width, hashes)
-            common = np.array([len(np.intersect1d(x[xe[i] : xe[i + 1]], y[ye[i] : ye[i + 1]], assume_unique=True)) for i in range(batch.num_rows)], np.int64)
-            near = pa.array(common * both.denominator > (np.diff(xe) + np.diff(ye)) * both.numerator)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common)], names=["cid_a", "cid_b", "n_common"]).filter(near)
+        for b in batches:
+            ends = b.column(1).offsets.to_numpy()
+            runs, sizes = b.column(1).values.to_numpy()[ends[0] : ends[-1]], np.diff(ends)
+            which = np.repeat(np.arange(len(sizes)), sizes)
+            parity = (np.bincount(which * 1024 + ((runs >> 20) & 1023), minlength=1024 * len(sizes)) & 1).astype(np.uint8)
+            image = np.packbits(parity.reshape(-1, 1024), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes.astype(np.int32)), *(pa.array(image[:, k].copy()) for k in range(16))], names=["cid", "n", *(f"i{k}" for k in range(16))])
 
-    return joined.mapInArrow(work, "cid_a bigint, cid_b bigint, n_common bigint")
+    return sets.mapInArrow(work, "cid bigint, n int, " + ", ".join(f"i{k} bigint" for k in range(16)))
 
 
-def similar_classes(classes: DataFrame, width: int, threshold: float) -> DataFrame:
+def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
     """(cid_a, cid_b, n_common) of all classes whose similarity is above the threshold."""
     t = Fraction(threshold).limit_denominator(1000)
     both = t / (1 + t)
     spark = classes.sparkSession
-    rows = regions(classes, spark.sparkContext.broadcast(_counts(classes, width)), t, width)
+    rows = regions(classes, spark.sparkContext.broadcast(_counts(classes)), t)
     a, b = rows.alias("a"), rows.alias("b")
     # The smaller set's window is shorter. The condition names both sides, so that it stays in the join and both sides
     # read one and the same shuffle.
@@ -173,14 +185,23 @@ def similar_classes(classes: DataFrame, width: int, threshold: float) -> DataFra
         ),
     )
     pairs = written(met.select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b")).distinct(), "candidates")
-    return _verified(pairs, classes, width, both)
+    images = _wide_images(_marked(classes, pairs))
+    x, y = images.alias("a"), images.alias("b")
+    far = " + ".join(f"bit_count(a.i{k} ^ b.i{k})" for k in range(16))
+    near = pairs.join(x, F.expr("cid_a = a.cid")).join(y, F.expr(f"cid_b = b.cid AND {far} <= a.n + b.n - 2 * {need}"))
+    near = written(near.select("cid_a", "cid_b"), "candidates")
+    sets = _marked(classes, near)
+    checked = near.join(sets.toDF("cid_a", "runs_a"), "cid_a").join(sets.toDF("cid_b", "runs_b"), "cid_b")
+    common = F.size(F.array_intersect("runs_a", "runs_b"))
+    checked = checked.select("cid_a", "cid_b", common.alias("n_common"), (F.size("runs_a") + F.size("runs_b")).alias("n_both"))
+    return checked.filter(F.col("n_common") * both.denominator > F.col("n_both") * both.numerator).select("cid_a", "cid_b", "n_common")
 
 
 def _classes(records: DataFrame, text: str, rec: str, width: int) -> tuple[DataFrame, DataFrame]:
     texts = written(word_texts(records, text, rec, width), "words")
     # one row per word sequence; partial aggregation collapses copies before the shuffle
     distinct = texts.groupBy("words").agg(F.first("loose").alias("loose"))
-    classes = written(distinct.select(F.monotonically_increasing_id().alias("cid"), "words", "loose"), "classes")
+    classes = written(word_sets(distinct.select(F.monotonically_increasing_id().alias("cid"), "words", "loose"), width), "classes")
     return texts.select("rec", "words", "key"), classes
 
 
@@ -189,7 +210,7 @@ def near_duplicate_pairs(records: DataFrame, text: str = "text", rec: str = "rec
     the same but for formatting (problem 4)."""
     members, classes = _classes(records, text, rec, width)
     named = members.join(classes.select("cid", "words"), "words").select("cid", "rec", "key")
-    found = written(similar_classes(classes, width, threshold), "pairs")
+    found = written(similar_classes(classes, threshold), "pairs")
     a = named.toDF("cid_a", "a", "key_a")
     b = named.toDF("cid_b", "b", "key_b")
     return found.join(a, "cid_a").join(b, "cid_b").filter("key_a <> key_b").select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b"))
@@ -199,7 +220,7 @@ def near_duplicate_groups(records: DataFrame, text: str = "text", rec: str = "re
     """One row (rec, group_id, n_links) for each record with a set: its connected component, named by the smallest rec,
     and the number of other word sequences it is similar to."""
     members, classes = _classes(records, text, rec, width)
-    found = written(similar_classes(classes, width, threshold).select("cid_a", "cid_b"), "pairs")
+    found = written(similar_classes(classes, threshold).select("cid_a", "cid_b"), "pairs")
     linked = found.select(F.col("cid_a").alias("cid")).unionAll(found.select("cid_b")).groupBy("cid").agg(F.count("*").alias("n_links"))
     labels = components(found.toDF("a", "b"))
     named = members.join(classes.select("cid", "words"), "words").join(labels.toDF("cid", "label"), "cid", "left").join(linked, "cid", "left")
