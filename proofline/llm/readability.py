@@ -26,7 +26,7 @@ from .canon import forms
 
 WORD_NODES = 1 << 18
 ITERATIONS = 8
-CELLS = 4000  # in which the cuts are looked for
+CELLS, NEAR, SLACK = 4000, 25, 0.05  # where and how the cuts are looked for
 # --- fixed values -------------------------------------------------------------------------------------
 ENGLISH = frozenset(
     "the a an and or but of to in on at by for with from is was were be been being are am it its he she they we i you his her their our my your this that "
@@ -116,19 +116,28 @@ def propagate(graph: DataFrame, iterations: int = ITERATIONS) -> np.ndarray | No
 
 
 def _cuts(scored: DataFrame) -> list[float]:
-    """Scores between the levels: each splits the graded documents with the fewest errors (the middle of the best)."""
-    low, high = scored.filter("grade is not null").agg(F.min("score"), F.max("score")).first()
+    """Scores between the levels. Graded documents say where a cut makes few errors: within ``SLACK`` of the fewest. In
+    that range the cut goes where the fewest documents, graded or not, are, as levels differ more between than within.
+    Both are counts per cell of the score's range: at most ``CELLS`` rows each."""
+    low, high = scored.agg(F.min("score"), F.max("score")).first()
     width = max(high - low, 1e-9) / CELLS
     cell = F.least(F.floor((F.col("score") - low) / width), F.lit(CELLS - 1)).cast("int")
-    rows = scored.filter("grade is not null").groupBy(cell.alias("cell"), F.round("grade").cast("int").alias("level")).agg(F.count("*").alias("n")).collect()
+    rows = scored.groupBy(cell.alias("cell"), F.round("grade").cast("int").alias("level")).agg(F.count("*").alias("n")).collect()
+    every = np.zeros(CELLS)
+    for r in rows:
+        every[r.cell] += r.n
+    around = np.convolve(every, np.ones(2 * NEAR + 1), "same")
+    around = np.concatenate([around, around[-1:]])  # of the cut below each cell, and above the last
     cuts = []
     for level in LEVELS[:-1]:
         below, above = np.zeros(CELLS + 1), np.zeros(CELLS + 1)
         for r in rows:
-            (above if r.level > level else below)[r.cell + 1] += r.n
+            if r.level is not None:
+                (above if r.level > level else below)[r.cell + 1] += r.n
         wrong = np.cumsum(above) + below.sum() - np.cumsum(below)
-        best = np.flatnonzero(wrong <= wrong.min() + 1e-9)
-        cuts.append(low + width * float(best[len(best) // 2]))
+        good = np.flatnonzero(wrong <= wrong.min() * (1 + SLACK) + 1e-9)
+        thin = good[around[good] <= around[good].min() + 1e-9]
+        cuts.append(low + width * float(thin[len(thin) // 2]))
     return list(np.maximum.accumulate(cuts))
 
 
