@@ -149,7 +149,7 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
-    return readability.reading_levels(_table(spark, folder, "documents"), _table(spark, folder, "level_labels"))
+    return readability.document_levels(_table(spark, folder, "documents"), _table(spark, folder, "level_labels"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,8 +7,8 @@ documents stay where they are and only sums by word node are shuffled. Levels ar
 graded documents' own unclamped values separate best.
 
 Only English running prose gets a level: the share of English function words tells it from other languages, lists,
-tables and junk. Everything else, null and empty texts included, has a null level. Without any usable grade all levels
-are null. Repeated grades of one document are averaged; null grades are ignored.
+tables and junk. Everything else, null and empty texts included, has a null level and the reason for it. Without any
+usable grade all levels are null. Repeated grades of one document are averaged; null grades are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ ENGLISH = frozenset(
 )
 MIN_ENGLISH_SHARE = 0.2
 LEVELS = (1, 2, 3, 4)
+NO_WORDS, NOT_ENGLISH_PROSE, NO_WORD_NODES, NO_GRADES = "no_words", "not_english_prose", "only_numbers_and_letters", "no_grades"
 # --------------------------------------------------------------------------------------------------------
 
 
@@ -48,30 +49,32 @@ class _Nodes(dict):
 
 
 def word_nodes(documents: DataFrame, text: str, id: str) -> DataFrame:  # noqa: A002
-    """(id, nodes): the distinct word nodes of each text in English prose."""
-    loose = forms(documents, text, {"loose": "loose"}, [id]).filter("loose is not null")
+    """(id, nodes, reason) for each text: its distinct word nodes, or none and the reason why it can't be levelled."""
+    loose = forms(documents, text, {"loose": "loose"}, [id])
     kind = loose.schema[0].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nodes, english = _Nodes(), ENGLISH
         for b in batches:
-            keep, lists = [], []
-            for at, t in enumerate(b.column(1).to_pylist()):
-                words = t.split()
-                distinct = set(words)
+            lists, reasons = [], []
+            for t in b.column(1).to_pylist():
+                words, own, reason = (t or "").split(), set(), None
                 # whether a text is English prose is counted over all its words, not only the distinct ones
-                if not words or sum(map(english.__contains__, words)) < MIN_ENGLISH_SHARE * len(words):
-                    continue
-                own = {nodes[w] for w in distinct}
-                own.discard(-1)
-                if own:
-                    keep.append(at)
-                    lists.append(np.fromiter(own, np.int32, len(own)))
+                if not words:
+                    reason = NO_WORDS
+                elif sum(map(english.__contains__, words)) < MIN_ENGLISH_SHARE * len(words):
+                    reason = NOT_ENGLISH_PROSE
+                else:
+                    own = {nodes[w] for w in set(words)}
+                    own.discard(-1)
+                    reason = None if own else NO_WORD_NODES
+                lists.append(np.fromiter(own, np.int32, len(own)))
+                reasons.append(reason)
             ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
             values = pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.ListArray.from_arrays(pa.array(ends), values)], names=["id", "nodes"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), values), pa.array(reasons, pa.string())], names=["id", "nodes", "reason"])
 
-    return loose.mapInArrow(work, f"id {kind}, nodes array<int>")
+    return loose.mapInArrow(work, f"id {kind}, nodes array<int>, reason string")
 
 
 def _unpacked(b: pa.RecordBatch, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,15 +144,18 @@ def _cuts(scored: DataFrame) -> list[float]:
     return list(np.maximum.accumulate(cuts))
 
 
-def reading_levels(documents: DataFrame, grades: DataFrame, text: str = "text", id: str = "doc_id", grade: str = "level", iterations: int = ITERATIONS) -> DataFrame:  # noqa: A002
-    """(id, score, level) for each document in English prose; the score runs from easy to hard."""
+def document_levels(documents: DataFrame, grades: DataFrame, text: str = "text", id: str = "doc_id", grade: str = "level", iterations: int = ITERATIONS) -> DataFrame:  # noqa: A002
+    """(id, score, level, reason) for each document; the score runs from easy to hard. Where there is no level, score
+    and level are null and the reason says why; elsewhere the reason is null."""
     spark = documents.sparkSession
     graded = grades.filter(F.col(f"`{grade}`").isNotNull()).groupBy(F.col(f"`{id}`").alias("id")).agg(F.avg(f"`{grade}`").alias("grade"))
-    graph = written(word_nodes(documents, text, id).join(graded, "id", "left").select("id", "grade", "nodes"), "graph")
+    every = written(word_nodes(documents, text, id).join(graded, "id", "left").select("id", "grade", "nodes", "reason"), "graph")
+    graph = every.filter("reason is null").select("id", "grade", "nodes")
+    unlevelled = lambda df, reason: df.select("id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("level"), reason.alias("reason"))
     words = propagate(graph.select("grade", "nodes"), iterations)
     kind = graph.schema["id"].dataType.simpleString()
     if words is None:
-        return graph.select("id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("level")).withColumnRenamed("id", id)
+        return unlevelled(every, F.coalesce("reason", F.lit(NO_GRADES))).withColumnRenamed("id", id)
     held = spark.sparkContext.broadcast(words)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,4 +167,11 @@ def reading_levels(documents: DataFrame, grades: DataFrame, text: str = "text",
     level = F.lit(LEVELS[0])
     for cut in _cuts(scored):
         level = level + F.when(F.col("score") >= cut, 1).otherwise(0)
-    return scored.select("id", "score", level.cast("int").alias("level")).withColumnRenamed("id", id)
+    levelled = scored.select("id", "score", level.cast("int").alias("level"), F.lit(None).cast("string").alias("reason"))
+    return levelled.unionByName(unlevelled(every.filter("reason is not null"), F.col("reason"))).withColumnRenamed("id", id)
+
+
+def reading_levels(documents: DataFrame, grades: DataFrame, text: str = "text", id: str = "doc_id", grade: str = "level", iterations: int = ITERATIONS) -> DataFrame:  # noqa: A002
+    """(id, score, level) for each document in English prose only: ``document_levels`` without the others."""
+    prose = F.coalesce("reason", F.lit(NO_GRADES)) == NO_GRADES
+    return document_levels(documents, grades, text, id, grade, iterations).filter(prose).drop("reason")

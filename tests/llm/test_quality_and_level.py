@@ -45,6 +45,22 @@ def test_levels_follow_the_grades(spark):
     assert all(got[i].level == 4 for i in range(0, 60, 2)) and all(got[i].level < 3 for i in range(1, 60, 2))
 
 
+def test_every_document_has_a_row(spark, tmp_path):
+    from proofline.llm import queries
+
+    docs = [(0, HARD), (1, EASY), (2, EASY), (100, "le chat est dans la maison avec son ami"), (101, None), (102, ""), (103, "- red pen\n- blue pen"), (104, "?! ..."), (105, "a 1 a 2 a")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, "r", 4), (1, "r", 1), (100, "r", 2)], "doc_id bigint, rater string, level int").write.parquet(f"{tmp_path}/level_labels.parquet")
+    rows = queries.p9_levels(spark, str(tmp_path)).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == len(docs) and set(got) == {i for i, _ in docs}
+    assert all(got[i].level is not None and got[i].score is not None and got[i].reason is None for i in (0, 1, 2))
+    why = {100: "not_english_prose", 101: "no_words", 102: "no_words", 103: "not_english_prose", 104: "no_words", 105: "only_numbers_and_letters"}
+    assert {i: (got[i].score, got[i].level, got[i].reason) for i in why} == {i: (None, None, r) for i, r in why.items()}
+    without = readability.document_levels(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.createDataFrame([], "doc_id bigint, level int")).collect()
+    assert {r.doc_id: (r.level, r.reason) for r in without} == {i: (None, why.get(i, "no_grades")) for i, _ in docs}
+
+
 def test_without_grades_or_texts(spark):
     grades = spark.createDataFrame([], "doc_id bigint, rater string, level int")
     df = spark.createDataFrame([(1, EASY)], "doc_id bigint, text string")
