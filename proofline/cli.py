@@ -72,9 +72,14 @@ def _calibrations(spark, path: str | None) -> DataFrame:
     return jsonl.load_calibrations(spark, path) if path else spark.createDataFrame([], jsonl.CALIBRATION)
 
 
+def _primary(spark, args):
+    """The engine's primary, trained on the labelled file if one is given."""
+    return engine.fit_primary(jsonl.load_labeled(spark, args.train)) if args.train else None
+
+
 def analyze(spark, args) -> str:
     df = _texts(spark, args).withColumn("language", F.lit(args.language))
-    done = engine.analyze(df, _calibrations(spark, args.calibration)).drop("change_point")
+    done = engine.analyze(df, _calibrations(spark, args.calibration), model=_primary(spark, args)).drop("change_point")
     row = done.first()
     return report.render([(k, v if not isinstance(v, list) else ", ".join(v)) for k, v in row.asDict().items()], ["figure", "value"], "Analysis")
 
@@ -83,7 +88,7 @@ def calibrate(spark, args) -> str:
     human = jsonl.load_labeled(spark, args.human)
     if human.filter("label <> 0").limit(1).count():
         raise ValueError("--human must contain only human texts (label 0)")
-    scored = engine.score_texts(human.select("text")).select(F.lit(args.language).alias("language"), "score", T.n_words(F.col("text")).alias("n_words"))
+    scored = engine.score_texts(human.select("text"), model=_primary(spark, args)).select(F.lit(args.language).alias("language"), "score", T.n_words(F.col("text")).alias("n_words"))
     made = conformal.calibrate(scored, args.fpr_cap)
     if args.out:
         jsonl.save_calibrations(made, args.out)
@@ -92,7 +97,8 @@ def calibrate(spark, args) -> str:
 
 def spans_(spark, args) -> str:
     df = _texts(spark, args)
-    s = spans.span_scores(df, detectors.detector(args.detector), args.detector)
+    model = _primary(spark, args)
+    s = spans.span_scores(df, engine.primary_detector(model), "primary") if model else spans.span_scores(df, detectors.detector(args.detector), args.detector)
     ok = spans.reliable(F.col("n_windows"), F.col("total_words"))
     whole = s.select("n_windows", "total_words", ok.alias("reliable"), spans.ai_word_fraction(F.col("scores"), F.col("n_words_of")).alias("ai_word_fraction"))
     each = s.select(F.posexplode("scores").alias("sentence", "score"))
@@ -104,9 +110,10 @@ def robustness(spark, args) -> str:
     if not ai.limit(1).count():
         raise ValueError("robustness needs AI-labeled texts")
     a = attacks.attack_table(ai, seed=args.seed).select("doc_id", "attack", "attacked")
-    raw = engine.score_texts(a, "attacked", defended=False).select("doc_id", "attack", F.col("score").alias("undefended"))
-    safe = engine.score_texts(a, "attacked").select("doc_id", "attack", F.col("score").alias("defended"))
-    base = engine.score_texts(ai).select("doc_id", F.col("score").alias("baseline"))
+    model = _primary(spark, args)
+    raw = engine.score_texts(a, "attacked", model, defended=False).select("doc_id", "attack", F.col("score").alias("undefended"))
+    safe = engine.score_texts(a, "attacked", model).select("doc_id", "attack", F.col("score").alias("defended"))
+    base = engine.score_texts(ai, model=model).select("doc_id", F.col("score").alias("baseline"))
     return report.render_table(evasion.robustness_report(raw.join(safe, ["doc_id", "attack"]).join(base, "doc_id")), "Robustness", ["attack"])
 
 
@@ -114,7 +121,7 @@ def fairness(spark, args) -> str:
     human = jsonl.load_labeled(spark, args.human)
     if human.filter("label <> 0").limit(1).count():
         raise ValueError("--human must contain only human texts (label 0)")
-    s = engine.score_texts(human).withColumns({"grp_": F.try_variant_get(F.try_parse_json("meta"), f"$.{args.group_by}", "string"), "detector": F.lit("engine")})
+    s = engine.score_texts(human, model=_primary(spark, args)).withColumns({"grp_": F.try_variant_get(F.try_parse_json("meta"), f"$.{args.group_by}", "string"), "detector": F.lit("engine")})
     g = metrics.subgroup_fpr(s, args.threshold, "grp_").withColumn("over_cap", F.col("fpr") > args.fpr_cap)
     gap = metrics.max_subgroup_gap(g).first()
     return report.render_table(g.drop("detector"), f"False positives by {args.group_by}", ["grp"]) + f"\nlargest gap {report.cell(gap.gap if gap else 0.0)}"
@@ -138,15 +145,16 @@ def parser() -> argparse.ArgumentParser:
     text = [("--text", {}), ("--file", {})]
     threshold = ("--threshold", {"type": float, "default": 0.5})
     cap = ("--fpr-cap", {"type": float, "default": conformal.FPR_CAP})
+    train = ("--train", {"help": "labelled JSON lines (both labels) that the supervised primary is trained on"})
     need = {"required": True}
     command("score", score, *text)
     command("compare", compare, ("--original", need), ("--rephrased", need), threshold)
     command("benchmark", benchmark, ("--human", need), ("--ai", need), ("--pairs", {}), ("--out", {}), threshold)
-    command("analyze", analyze, *text, ("--calibration", {}), ("--language", {"default": "en"}))
-    command("calibrate", calibrate, ("--human", need), cap, ("--language", {"default": "en"}), ("--out", {}))
-    command("spans", spans_, *text, ("--detector", {"default": "phrases"}))
-    command("robustness", robustness, ("--ai", need), ("--seed", {"type": int, "default": 0}))
-    command("fairness", fairness, ("--human", need), ("--group-by", need), threshold, cap)
+    command("analyze", analyze, *text, ("--calibration", {}), ("--language", {"default": "en"}), train)
+    command("calibrate", calibrate, ("--human", need), cap, ("--language", {"default": "en"}), ("--out", {}), train)
+    command("spans", spans_, *text, ("--detector", {"default": "phrases"}), train)
+    command("robustness", robustness, ("--ai", need), ("--seed", {"type": int, "default": 0}), train)
+    command("fairness", fairness, ("--human", need), ("--group-by", need), threshold, cap, train)
     command("detectors", detectors_)
     return p
 

@@ -12,20 +12,36 @@ from pyspark.sql import functions as F
 
 from ..functions import combine, detectors, features, normalize
 from ..functions import text as T
-from ..operators import conformal, spans, verdict
+from ..operators import conformal, spans, supervised, verdict
 from ..operators.supervised import LogisticModel
+from ..scratch import written
 
 CORROBORATORS = ("phrases", "stylometry")
+PRIMARY_KEYS = [*features.NAMES, *(f"detector_{n}" for n in CORROBORATORS)]
+
+
+def _figures(df: DataFrame, text: str, lexicon: str | None = None) -> DataFrame:
+    """``df`` with the columns ``PRIMARY_KEYS``, the corroborators' scores and ``n_words``; the text is parsed once."""
+    made = detectors.phrases(detectors.stylometry(features.with_features(df, text), text), text, lexicon)
+    return made.withColumns({f"detector_{n}": F.col(f"{n}_score") for n in CORROBORATORS})
+
+
+def fit_primary(df: DataFrame, text: str = "text", label: str = "label") -> LogisticModel:
+    """The supervised primary, fitted on texts as they are. Texts without words or without a label are left out."""
+    rows = _figures(df.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).select(text, label), text).filter("n_words > 0")
+    return supervised.fit(written(rows.select(label, *PRIMARY_KEYS), "training"), PRIMARY_KEYS, label)
+
+
+def primary_detector(model: LogisticModel):
+    """The primary as a detector of texts: adds ``primary_score``, 0.5 for a text without words."""
+    return lambda df, text: _scores(df.drop("tokens", "sents", "lengths"), text, model).withColumn("primary_score", F.coalesce("primary", F.lit(0.5)))
 
 
 def _scores(df: DataFrame, text: str, model: LogisticModel | None, lexicon: str | None = None) -> DataFrame:
     """``df`` with the corroborators' scores, ``primary`` (null without a model or without words), ``n_words``."""
-    scored = detectors.scored(df, text, lexicon)
     if model is None:
-        return scored.withColumn("primary", F.lit(None).cast("double"))
-    made = features.with_features(df, text)
-    base = detectors.scored(made, text, lexicon).withColumns({f"detector_{n}": F.col(f"{n}_score") for n in CORROBORATORS})
-    return base.withColumn("primary", F.when(F.col("n_words") > 0, model.score()))
+        return detectors.scored(df, text, lexicon).withColumn("primary", F.lit(None).cast("double"))
+    return _figures(df, text, lexicon).withColumn("primary", F.when(F.col("n_words") > 0, model.score()))
 
 
 def blended() -> Column:
@@ -54,7 +70,7 @@ def analyze(df: DataFrame, calibrations: DataFrame, key: str = "doc_id", text: s
     )
     if want_spans:
         name = CORROBORATORS[0] if model is None else "primary"
-        score = detectors.detector(name) if model is None else lambda d, t: _scores(d.drop("tokens", "sents", "lengths"), t, model).withColumn("primary_score", F.coalesce("primary", F.lit(0.5)))
+        score = detectors.detector(name) if model is None else primary_detector(model)
         # the explode keeps Spark from inlining the Python function that made ``clean`` into all that is built on it
         s = spans.span_scores(base.select(key, F.explode(F.array("clean")).alias("clean")), score, name, key, "clean")
         ok = spans.reliable(F.col("n_windows"), F.col("total_words"))

@@ -323,10 +323,14 @@ def ood_flag(spark, folder):
     return _wide(spark, folder).select("doc_id", "run_no", gap.alias("gap"), combine.is_ood(gap).alias("is_ood"))
 
 
+def _status() -> Column:
+    """The provenance status by source: sources of the documents that are known to sign what they hold."""
+    return F.when(F.col("source") == "model_outputs_a", combine.VERIFIED_AI).when(F.col("source") == "model_outputs_b", combine.INVALID).when(F.col("source") == "lab_notes", combine.HUMAN_CLAIM).when(F.col("source") == "open_forum", combine.ABSENT)
+
+
 def _signals(spark, folder) -> DataFrame:
-    """Provenance signals as a side table: sources of the documents that are known to sign what they hold."""
-    status = F.when(F.col("source") == "model_outputs_a", combine.VERIFIED_AI).when(F.col("source") == "model_outputs_b", combine.INVALID).when(F.col("source") == "lab_notes", combine.HUMAN_CLAIM).when(F.col("source") == "open_forum", combine.ABSENT)
-    return docs(spark, folder).select("doc_id", status.alias("status")).filter("status is not null")
+    """Provenance signals as a side table."""
+    return docs(spark, folder).select("doc_id", _status().alias("status")).filter("status is not null")
 
 
 @query
@@ -581,9 +585,10 @@ def attack_all(spark, folder):
 @query
 def robustness(spark, folder):
     a = _attacked(spark, folder).withColumns({"_d": normalize.normalized(F.col("attacked"))})
-    base = engine.score_texts(table(spark, folder, "demo_ai").select("doc_id", "text")).select("doc_id", F.col("score").alias("baseline"))
-    raw = engine.score_texts(a.select("doc_id", "attack", "attacked"), "attacked", defended=False).select("doc_id", "attack", F.col("score").alias("undefended"))
-    safe = engine.score_texts(a.select("doc_id", "attack", "attacked"), "attacked").select("doc_id", "attack", F.col("score").alias("defended"))
+    model = _primary(spark, folder)
+    base = engine.score_texts(table(spark, folder, "demo_ai").select("doc_id", "text"), model=model).select("doc_id", F.col("score").alias("baseline"))
+    raw = engine.score_texts(a.select("doc_id", "attack", "attacked"), "attacked", model, defended=False).select("doc_id", "attack", F.col("score").alias("undefended"))
+    safe = engine.score_texts(a.select("doc_id", "attack", "attacked"), "attacked", model).select("doc_id", "attack", F.col("score").alias("defended"))
     return evasion.robustness_report(raw.join(safe, ["doc_id", "attack"]).join(base, "doc_id"))
 
 
@@ -684,22 +689,29 @@ def decide(spark, folder):
     return j.select("doc_id", out["label_out"].alias("verdict"), out["verdict_score"].alias("verdict_score"), F.array_join(out["abstain_reasons"], ",").alias("reasons"))
 
 
+def _primary(spark, folder):
+    """The engine's primary, fitted on the labelled documents."""
+    return engine.fit_primary(docs(spark, folder))
+
+
+def _analyzed(spark, folder) -> DataFrame:
+    d = docs(spark, folder).filter("text is not null").withColumn("status", _status())
+    return engine.analyze(d, table(spark, folder, "calibration"), language="lang", model=_primary(spark, folder), provenance="status")
+
+
 @query
 def engine_score_texts(spark, folder):
-    return engine.score_texts(docs(spark, folder).filter("text is not null").select("doc_id", "text")).select("doc_id", "score")
+    return engine.score_texts(docs(spark, folder).filter("text is not null").select("doc_id", "text"), model=_primary(spark, folder)).select("doc_id", "score")
 
 
 @query
 def engine_analyze(spark, folder):
-    d = docs(spark, folder).filter("text is not null")
-    return engine.analyze(d, table(spark, folder, "calibration"), language="lang").drop("change_point", "explanation").withColumn("abstain_reasons", F.array_join("abstain_reasons", ","))
+    return _analyzed(spark, folder).drop("change_point", "explanation").withColumn("abstain_reasons", F.array_join("abstain_reasons", ","))
 
 
 @query
 def explain(spark, folder):
-    d = docs(spark, folder).filter("text is not null")
-    a = engine.analyze(d, table(spark, folder, "calibration"), language="lang")
-    return a.groupBy("verdict", "explanation").agg(F.count("*").alias("n"))
+    return _analyzed(spark, folder).groupBy("verdict", "explanation").agg(F.count("*").alias("n"))
 
 
 @query
