@@ -1,22 +1,25 @@
 """Problem 1: all pairs of records whose sets of word runs have a Jaccard similarity above a threshold, exactly.
 
-The space is the metric space of sets under the symmetric difference |X - Y| + |Y - X|, in which the Jaccard threshold
-is a distance bound that depends on the two sizes. The pivots are single word runs, the finest pivots there are:
-
-*  Runs are ordered from rare to frequent (by counts in a table of fixed size, which is all that is broadcast). A record
-   belongs to the regions of its first runs. The window follows from the triangle inequality: two records within the
-   bound that shared none of their first ``n - floor(t n)`` runs would be farther apart than it allows. So each record
-   is replicated to that many regions, and any two similar records meet in one.
-*  Within a region, further windows are applied before a pair leaves the join: by size, by the position of the shared
-   run, and by a parity map to 256 bits. That map never increases a distance, so pairs whose images
-   are farther apart than the bound are dropped without error.
-*  The remaining pairs are verified on the whole sets.
-
-Document pivots with windows of twice the threshold, as the method is named, can't prune here: at a similarity of one
-half that window is as wide as the space (see the README).
+The space is that of word-run sets under the Jaccard distance, a metric; two documents are linked if they are nearer
+than ``delta = 1 - threshold``. The join is a Voronoi join with document pivots:
+
+*  **Pivots and regions.** Documents that share their smallest run hash meet in a stream sorted by it. Those farther than
+   ``0.4 delta`` from every pivot met so far become pivots; each other document belongs to the region of its nearest
+   pivot. A region of more than ``LEAF`` documents is divided again around pivots of half the radius, recursively. The
+   stream is range-partitioned, so a hash that a third of all documents share is spread over tasks: which
+   pivots are taken changes the cost, never the result.
+*  **Within a region** any two members are linked by the triangle inequality, d(x, y) <= d(x, p) + d(p, y) < delta, and
+   no sets are compared.
+*  **Windows.** For two regions p < q, a document y of q is copied to p if it may be linked to a member. That it may is
+   found through rare runs: of runs in a common order from rare to frequent, two linked documents share one among their
+   first ``n - floor(t n)``. Members and y are compared there by size, by the position of the shared run and by a parity
+   image of 256 bits, a map that never increases a distance. What is left must pass the ball window around the
+   pivot, d(y, p) < radius(p) + delta, first on images of 1,024 bits, then exactly.
+*  **Leaves.** With d(y, p) known, a member x is linked with y for sure if d(x, p) + d(y, p) < delta, for sure not
+   if |d(x, p) - d(y, p)| >= delta, and only in between are the two sets compared.
 
 Records with the same words in the same order are one class; classes are compared, and pairs are expanded to records at
-the end. Nulls and texts shorter than a run have no sets and no pairs.
+the end. Nulls and texts shorter than a run have no sets and no links.
 """
 
 from __future__ import annotations
@@ -26,18 +29,40 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import written
-from .canon import forms
+from ..scratch import drop, written
+from .canon import form_query, run_sql
 from .components import components
 
 COUNTERS = 1 << 20  # of the rarity table: its size is fixed, whatever the data
+RADIUS = 0.4  # of a region, as a part of delta: below one half, so that all members of a region are linked
+LEAF, HELD, MET = 32, 512, 64  # members of an undivided region; documents divided at once; pivots a document is held against
+SLACK = 1e-9
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
+class Bound:
+    """The least overlap for a link: more than ``t`` (strict) or at least ``t`` (inclusive) of the union."""
+
+    def __init__(self, threshold: float, inclusive: bool):
+        self.t = Fraction(threshold).limit_denominator(1000)
+        self.both = self.t / (1 + self.t)  # of the sum of the two sizes
+        self.inclusive = inclusive
+        self.delta = float(1 - self.t)
+
+    def least(self, n, part: Fraction):
+        """The smallest whole number above (or at) ``part`` of ``n``, for numbers and arrays."""
+        return (n * part.numerator + part.denominator - 1) // part.denominator if self.inclusive else n * part.numerator // part.denominator + 1
+
+    def least_sql(self, n: str, part: Fraction) -> str:
+        return f"(({n} * {part.numerator} + {part.denominator - 1}) div {part.denominator})" if self.inclusive else f"(({n} * {part.numerator}) div {part.denominator} + 1)"
+
+
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) > 500_000:
@@ -46,12 +71,26 @@ class _Hashes(dict):
         return value
 
 
-def run_hashes(words: list[str], width: int, hashes: dict[str, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of ``width`` words."""
-    if len(words) < width:
-        return np.empty(0, np.int64)
-    one = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = len(words) - width + 1
+def pieces(batch: pa.RecordBatch, at: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``most`` bytes of text in column ``at``; a longer text is a slice of its own."""
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def run_table(texts: pa.Array, width: int, hashes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, runs): the sorted distinct 64-bit hashes of the runs of ``width`` words of each text, one after the other.
+    Texts are words with single blanks between; all texts of a batch are done at once."""
+    lists = pc.split_pattern(texts, " ")
+    flat = lists.flatten().dictionary_encode()
+    one = np.fromiter(map(hashes.__getitem__, flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))[flat.indices.to_numpy()]
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    n = len(one) - width + 1
+    if n <= 0:
+        return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64)
     run = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
@@ -59,83 +98,180 @@ def run_hashes(words: list[str], width: int, hashes: dict[str, int]) -> np.ndarr
             run ^= run >> np.uint64(29)
             run = run * _B + _C
         run ^= run >> np.uint64(32)
-    return np.unique(run.view(np.int64))
+    inside = owner[:n] == owner[width - 1 :]
+    owner, run = owner[:n][inside], run[inside].view(np.int64)
+    order = np.lexsort((run, owner))
+    owner, run = owner[order], run[order]
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])
+    return np.searchsorted(owner[new], np.arange(len(texts) + 1)), run[new]
 
 
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
+def run_hashes(words: list[str], width: int, hashes: dict[str, int]) -> np.ndarray:
+    """The runs of one text."""
+    return run_table(pa.array([" ".join(words)]), width, hashes)[1] if words else np.empty(0, np.int64)
 
 
 def word_texts(records: DataFrame, text: str, rec: str, width: int) -> DataFrame:
-    """(rec, words: digest of the word sequence, key: digest of the form of problem 4, loose: the words) of each record
-    that has at least one run. Words take far less room than run hashes, so they are what is sent until copies are
-    collapsed."""
-    shaped = forms(records, text, {"words": "sha256(loose)", "key": "sha256(key)", "loose": "loose"}, [rec])
-    return shaped.toDF("rec", "words", "key", "loose").filter(F.size(F.split("loose", " ")) >= width)
-
-
-def word_sets(texts: DataFrame, width: int) -> DataFrame:
-    """(cid, words, runs: sorted run hashes) of (cid, words, loose)."""
+    """(rec, words: digest of the word sequence, key: digest of the form of problem 4, low: the smallest run hash, n: the
+    number of runs, loose: the words). ``low`` is null for a text without a run, all but ``rec`` for a null text. A word
+    sequence met before in the partition is not repeated: its ``loose`` is null."""
+    sql = form_query("rec, sha256(loose) AS words, sha256(key) AS key, loose")
+
+    def shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, seen = _Hashes(), set()
+
+        def with_low(t: pa.Table) -> pa.Table:
+            t = t.combine_chunks()
+            rec_, words, key, loose = (c.chunk(0) if c.num_chunks else pa.array([], pa.string()) for c in t.columns)
+            ends, runs = run_table(pc.fill_null(loose, ""), width, hashes)
+            n = np.diff(ends)
+            has = n > 0
+            low = np.zeros(len(n), np.int64)
+            low[has] = runs[ends[:-1][has]]
+            fresh = np.ones(len(n), bool)
+            for i, w in enumerate(words.to_pylist()):
+                fresh[i] = w not in seen
+                if len(seen) < 200_000:
+                    seen.add(w)
+            return pa.table([rec_, words, key, pa.array(low, mask=~has), pa.array(n.astype(np.int32)), pc.if_else(pa.array(fresh & has), loose, pa.scalar(None, pa.string()))], names=["rec", "words", "key", "low", "n", "loose"])
+
+        yield from run_sql(sql, with_low)(batches)
+
+    return records.select(F.col(f"`{rec}`").alias("rec"), F.col(f"`{text}`").alias("text")).mapInArrow(shaped, "rec string, words string, key string, low bigint, n int, loose string")
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard distance of two sorted sets."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 1.0 - common / (len(x) + len(y) - common)
+
+
+def divide(sets: list[np.ndarray], radius: float) -> list[tuple[int, float]]:
+    """(index of the pivot, distance from it) for each set: no set is farther than ``radius`` from its pivot, and each
+    belongs to the nearest pivot among those it was held against. Regions above ``LEAF`` members are divided again."""
+    pivots: list[int] = []
+    home: list[tuple[int, float]] = []
+    for i, s in enumerate(sets):
+        best = (i, 0.0)
+        for p in pivots[-MET:]:
+            small, large = sorted((len(s), len(sets[p])))
+            if small < (1 - radius) * large:  # farther than the radius by their sizes alone
+                continue
+            d = distance(s, sets[p])
+            if d <= radius and (best[0] == i or d < best[1]):
+                best = (p, d)
+        if best[0] == i:
+            pivots.append(i)
+        home.append(best)
+    members: dict[int, list[int]] = {}
+    for i, (p, _) in enumerate(home):
+        members.setdefault(p, []).append(i)
+    for p, own in members.items():
+        if len(own) > LEAF and radius > 0.01:
+            for i, (q, d) in zip(own, divide([sets[i] for i in own], radius / 2)):
+                home[i] = (own[q], d)
+    return home
+
+
+def voronoi(texts: DataFrame, width: int, bound: Bound) -> DataFrame:
+    """(cid, words, loose, home, dist, radius) for each word sequence: the cid of its region's pivot, the distance from
+    it, and the largest such distance in the region."""
+    radius = RADIUS * bound.delta
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for b in batches:
-            runs = [run_hashes(t.split(), width, hashes) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(runs)], names=["cid", "words", "runs"])
-
-    return texts.select("cid", "words", "loose").mapInArrow(work, "cid bigint, words string, runs array<bigint>")
-
-
-def _counts(classes: DataFrame) -> np.ndarray:
+        hashes, at = _Hashes(), TaskContext.get().partitionId() << 40
+        group: list[tuple[str, str, np.ndarray]] = []
+        out: list[tuple] = []
+        last = None
+
+        def close() -> None:
+            nonlocal at
+            home = divide([s for _, _, s in group], radius) if len(group) > 1 else [(0, 0.0)] * len(group)
+            widest: dict[int, float] = {}
+            for p, d in home:
+                widest[p] = max(widest.get(p, 0.0), d)
+            out.extend((at + i, words, loose, at + p, d, widest[p]) for i, ((words, loose, _), (p, d)) in enumerate(zip(group, home)))
+            at += len(group)
+            group.clear()
+
+        def rows() -> pa.RecordBatch:
+            columns = zip(*out) if out else [[]] * 6
+            done = pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64()))], names=["cid", "words", "loose", "home", "dist", "radius"])
+            out.clear()
+            return done
+
+        before = None
+        for whole in batches:
+            for b in pieces(whole, 2):
+                words, loose = b.column(1).to_pylist(), b.column(2).to_pylist()
+                ends, runs = run_table(b.column(2), width, hashes)
+                for i, low in enumerate(b.column(0).to_pylist()):
+                    if words[i] == before:
+                        continue
+                    before = words[i]
+                    if low != last or len(group) >= HELD:
+                        close()
+                        last = low
+                    group.append((words[i], loose[i], runs[ends[i] : ends[i + 1]].copy()))
+                yield rows()
+        close()
+        yield rows()
+
+    spark = texts.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    seen = texts.filter("loose is not null").select("low", "words", "loose", "n")
+    sorted_ = seen.repartitionByRange(parts, "low", "words").sortWithinPartitions("low", "n", "words").select("low", "words", "loose")
+    return sorted_.mapInArrow(work, "cid bigint, words string, loose string, home bigint, dist double, radius double")
+
+
+def _counts(classes: DataFrame, width: int) -> np.ndarray:
     """How many runs of all classes fall on each counter."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for b in batches:
-            total += np.bincount(b.column(0).flatten().to_numpy() & (COUNTERS - 1), minlength=COUNTERS)
+        total, hashes = np.zeros(COUNTERS, np.int64), _Hashes()
+        for b in (p for whole in batches for p in pieces(whole, 0)):
+            total += np.bincount(run_table(b.column(0), width, hashes)[1] & (COUNTERS - 1), minlength=COUNTERS)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)]), pa.array(total[at[k : k + (1 << 16)]])], names=["counter", "n"])
 
-    rows = classes.select("runs").mapInArrow(work, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    rows = classes.select("loose").mapInArrow(work, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int64)
     counts[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return np.minimum(counts, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-def _floor(n: np.ndarray, of: Fraction) -> np.ndarray:
-    return n * of.numerator // of.denominator
+def _parity(owner: np.ndarray, runs: np.ndarray, n: int, bits: int, shift: int) -> np.ndarray:
+    """``bits`` parity bits of each of ``n`` sets, as rows of 64-bit numbers."""
+    odd = (np.bincount(owner * bits + ((runs >> shift) & (bits - 1)), minlength=bits * n) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, bits), axis=1).view(np.int64)
 
 
-def regions(classes: DataFrame, counts, t: Fraction) -> DataFrame:
-    """One row per class and region: run (the pivot), cid, n, pos (of the run in the class's order), b0..b3 (parity)."""
+def windows(classes: DataFrame, counts, width: int, bound: Bound) -> DataFrame:
+    """One row per class and rare run: run, cid, home, n, pos (of the run in the class's order), b0..b3 (parity)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        for b in batches:
-            ends = b.column(1).offsets.to_numpy()
-            runs = b.column(1).values.to_numpy()
-            cids = b.column(0).to_numpy()
-            which = np.repeat(np.arange(len(cids)), np.diff(ends))
-            runs = runs[ends[0] : ends[-1]]
-            sizes = np.diff(ends)
-            parity = (np.bincount(which * 256 + ((runs >> 40) & 255), minlength=256 * len(cids)) & 1).astype(np.uint8)
-            bits = np.packbits(parity.reshape(-1, 256), axis=1).view(np.int64)
-            order = np.lexsort((runs, table[runs & (COUNTERS - 1)], which))
-            pos = np.arange(len(runs)) - np.repeat(ends[:-1] - ends[0], sizes)
-            keep = pos < (sizes - _floor(sizes, t))[which]
-            w, p = which[keep], pos[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (runs[order][keep], cids[w], sizes[w].astype(np.int32), p.astype(np.int32), bits[w, 0], bits[w, 1], bits[w, 2], bits[w, 3])], names=["run", "cid", "n", "pos", "b0", "b1", "b2", "b3"]
-            )
-
-    return classes.select("cid", "runs").mapInArrow(work, "run bigint, cid bigint, n int, pos int, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+        table, hashes = counts.value, _Hashes()
+        for whole in batches:
+            for b in pieces(whole, 2):
+                ends, runs = run_table(b.column(2), width, hashes)
+                sizes = np.diff(ends)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                bits = _parity(owner, runs, len(sizes), 256, 40)
+                order = np.lexsort((runs, table[runs & (COUNTERS - 1)], owner))
+                pos = np.arange(len(runs)) - np.repeat(ends[:-1], sizes)
+                keep = pos < (sizes - bound.least(sizes, bound.t) + 1)[owner]
+                w = owner[keep]
+                columns = (runs[order][keep], b.column(0).to_numpy()[w], b.column(1).to_numpy()[w], sizes[w].astype(np.int32), pos[keep].astype(np.int32), *(bits[w, j] for j in range(4)))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", "cid", "home", "n", "pos", "b0", "b1", "b2", "b3"])
+
+    return classes.select("cid", "home", "loose").mapInArrow(work, "run bigint, cid bigint, home bigint, n int, pos int, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
 
 def _marked(classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The (cid, runs) that may be in a pair: ids are marked in a bitmap of fixed size, so that most sets of classes
-    without a candidate need not be sent. A false mark costs a row, no mark is ever missing."""
+    """The (cid, radius, loose) that may be in a pair: ids are marked in a bitmap of fixed size, so that most
+    classes without a candidate need not be sent. A false mark costs a row, no mark is ever missing."""
     mark = F.pmod(F.xxhash64("cid"), F.lit(COUNTERS))
     marks = pairs.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).select(mark.alias("m")).distinct().toArrow().column(0).to_numpy()
     table = np.zeros(COUNTERS, bool)
@@ -145,85 +281,128 @@ def _marked(classes: DataFrame, pairs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(held.value).astype(bool)
         for b in batches:
-            yield b.filter(pa.array(bits[b.column(2).to_numpy()])).select(["cid", "runs"])
+            yield b.filter(pa.array(bits[b.column(3).to_numpy()])).select(["cid", "radius", "loose"])
 
-    return classes.select("cid", "runs", mark.alias("m")).mapInArrow(work, "cid bigint, runs array<bigint>")
+    return classes.select("cid", "radius", "loose", mark.alias("m")).mapInArrow(work, "cid bigint, radius double, loose string")
 
 
-def _wide_images(sets: DataFrame) -> DataFrame:
-    """(cid, n, i0..i15): a parity image of 1,024 bits, which tells long texts apart too."""
+def _wide_images(marked: DataFrame, width: int) -> DataFrame:
+    """(cid, n, radius, i0..i15): a parity image of 1,024 bits, which tells long texts apart too."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ends = b.column(1).offsets.to_numpy()
-            runs, sizes = b.column(1).values.to_numpy()[ends[0] : ends[-1]], np.diff(ends)
-            which = np.repeat(np.arange(len(sizes)), sizes)
-            parity = (np.bincount(which * 1024 + ((runs >> 20) & 1023), minlength=1024 * len(sizes)) & 1).astype(np.uint8)
-            image = np.packbits(parity.reshape(-1, 1024), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes.astype(np.int32)), *(pa.array(image[:, k].copy()) for k in range(16))], names=["cid", "n", *(f"i{k}" for k in range(16))])
+        hashes = _Hashes()
+        for b in (p for whole in batches for p in pieces(whole, 2)):
+            ends, runs = run_table(b.column(2), width, hashes)
+            sizes = np.diff(ends)
+            image = _parity(np.repeat(np.arange(len(sizes)), sizes), runs, len(sizes), 1024, 20)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes.astype(np.int32)), b.column(1), *(pa.array(image[:, k].copy()) for k in range(16))], names=["cid", "n", "radius", *(f"i{k}" for k in range(16))])
 
-    return sets.mapInArrow(work, "cid bigint, n int, " + ", ".join(f"i{k} bigint" for k in range(16)))
+    return marked.mapInArrow(work, "cid bigint, n int, radius double, " + ", ".join(f"i{k} bigint" for k in range(16)))
 
 
-def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
-    """(cid_a, cid_b, n_common) of all classes whose similarity is above the threshold."""
-    t = Fraction(threshold).limit_denominator(1000)
-    both = t / (1 + t)
+def _sets(marked: DataFrame, width: int) -> DataFrame:
+    """(cid, radius, runs)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for b in (p for whole in batches for p in pieces(whole, 2)):
+            ends, runs = run_table(b.column(2), width, hashes)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(runs))], names=["cid", "radius", "runs"])
+
+    return marked.mapInArrow(work, "cid bigint, radius double, runs array<bigint>")
+
+
+def _compared(pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(cid_a, cid_b, radius of a, n_both, n_common) of the pairs, on whole sets."""
+    sets = _sets(_marked(classes, pairs), width)
+    both = pairs.select("cid_a", "cid_b").join(sets.toDF("cid_a", "radius", "runs_a"), "cid_a").join(sets.select(F.col("cid").alias("cid_b"), F.col("runs").alias("runs_b")), "cid_b")
+    return both.select("cid_a", "cid_b", "radius", (F.size("runs_a") + F.size("runs_b")).alias("n_both"), F.size(F.array_intersect("runs_a", "runs_b")).alias("n_common"))
+
+
+def similar_classes(classes: DataFrame, width: int, bound: Bound) -> DataFrame:
+    """(cid_a, cid_b) of all linked classes, each pair once."""
     spark = classes.sparkSession
-    rows = regions(classes, spark.sparkContext.broadcast(_counts(classes)), t)
+    t, both, delta = bound.t, bound.both, bound.delta
+    counts = spark.sparkContext.broadcast(_counts(classes, width))
+    rows = windows(classes, counts, width, bound)
     a, b = rows.alias("a"), rows.alias("b")
     # The smaller set's window is shorter. The condition names both sides, so that it stays in the join and both sides
     # read one and the same shuffle.
-    inner = f"least(a.pos, a.pos + b.pos) < a.n - (a.n * {(2 * both).numerator}) div {(2 * both).denominator}"
-    need = f"(((a.n + b.n) * {both.numerator}) div {both.denominator} + 1)"
+    inner = f"least(a.pos, a.pos + b.pos) < a.n - {bound.least_sql('a.n', 2 * both)} + 1"
+    need = bound.least_sql("(a.n + b.n)", both)
     far = " + ".join(f"bit_count(a.b{i} ^ b.b{i})" for i in range(4))
     met = a.join(
         b,
         F.expr(
-            f"a.run = b.run AND {inner} AND (a.n < b.n OR (a.n = b.n AND a.cid < b.cid)) AND b.n * {t.numerator} < a.n * {t.denominator} "
+            f"a.run = b.run AND a.home <> b.home AND {inner} AND (a.n < b.n OR (a.n = b.n AND a.cid < b.cid)) AND b.n * {t.numerator} {'<=' if bound.inclusive else '<'} a.n * {t.denominator} "
             f"AND 1 + least(a.n - 1 - a.pos, b.n - 1 - b.pos) >= {need} AND {far} <= a.n + b.n - 2 * {need}"
         ),
     )
-    pairs = written(met.select(F.col("a.cid").alias("cid_a"), F.col("b.cid").alias("cid_b")).distinct(), "candidates")
-    images = _wide_images(_marked(classes, pairs))
-    x, y = images.alias("a"), images.alias("b")
-    far = " + ".join(f"bit_count(a.i{k} ^ b.i{k})" for k in range(16))
-    near = pairs.join(x, F.expr("cid_a = a.cid")).join(y, F.expr(f"cid_b = b.cid AND {far} <= a.n + b.n - 2 * {need}"))
-    near = written(near.select("cid_a", "cid_b"), "candidates")
-    sets = _marked(classes, near)
-    checked = near.join(sets.toDF("cid_a", "runs_a"), "cid_a").join(sets.toDF("cid_b", "runs_b"), "cid_b")
-    common = F.size(F.array_intersect("runs_a", "runs_b"))
-    checked = checked.select("cid_a", "cid_b", common.alias("n_common"), (F.size("runs_a") + F.size("runs_b")).alias("n_both"))
-    return checked.filter(F.col("n_common") * both.denominator > F.col("n_both") * both.numerator).select("cid_a", "cid_b", "n_common")
-
-
-def _classes(records: DataFrame, text: str, rec: str, width: int) -> tuple[DataFrame, DataFrame]:
+    # a document goes to the region of the smaller name: (region's pivot, visitor)
+    visits = written(met.selectExpr("least(a.home, b.home) AS cid_a", "if(a.home < b.home, b.cid, a.cid) AS cid_b").distinct(), "visits")
+    # the ball window, on images
+    images = _wide_images(_marked(classes, visits), width)
+    x, y = images.alias("x"), images.alias("y")
+    far = " + ".join(f"bit_count(x.i{k} ^ y.i{k})" for k in range(16))
+    ball = f"{far} <= (x.radius + {delta!r}) / (2 - x.radius - {delta!r}) * (x.n + y.n) + {SLACK}"
+    near = written(visits.join(x, F.expr("cid_a = x.cid")).join(y, F.expr(f"cid_b = y.cid AND {ball}")).select("cid_a", "cid_b"), "near")
+    # ... and exactly
+    seen = _compared(near, classes, width).withColumn("dist", F.expr("1D - n_common / (n_both - n_common)"))
+    seen = written(seen.filter(F.col("dist") <= F.col("radius") + delta + SLACK), "seen")
+    links = seen.filter(F.expr(f"n_common >= {bound.least_sql('n_both', both)}")).select("cid_a", "cid_b")
+    members = classes.filter("home <> cid").select("home", "cid", F.col("dist").alias("own"))
+    leaves = seen.filter("radius > 0").join(members, F.col("cid_a") == F.col("home")).select(F.col("cid").alias("cid_a"), "cid_b", "dist", "own")
+    sure = leaves.filter(F.col("dist") + F.col("own") < delta - SLACK).select("cid_a", "cid_b")
+    unsure = written(leaves.filter((F.col("dist") + F.col("own") >= delta - SLACK) & (F.abs(F.col("dist") - F.col("own")) <= delta + SLACK)).select("cid_a", "cid_b"), "unsure")
+    verified = _compared(unsure, classes, width).filter(F.expr(f"n_common >= {bound.least_sql('n_both', both)}")).select("cid_a", "cid_b")
+    of_pivot = members.select(F.col("home").alias("cid_a"), F.col("cid").alias("cid_b"))
+    one, two = members.alias("one"), members.alias("two")
+    inside = one.join(two, F.expr("one.home = two.home AND one.cid < two.cid")).select(F.col("one.cid").alias("cid_a"), F.col("two.cid").alias("cid_b"))
+    done = written(links.unionAll(sure).unionAll(verified).unionAll(of_pivot).unionAll(inside), "links")
+    for table in (visits, near, seen, unsure):
+        drop(table)
+    counts.destroy()
+    return done
+
+
+def _linked(records: DataFrame, text: str, rec: str, width: int, threshold: float, inclusive: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records with the digests of their words, classes, links), all written."""
+    bound = Bound(threshold, inclusive)
     texts = written(word_texts(records, text, rec, width), "words")
-    # one row per word sequence; partial aggregation collapses copies before the shuffle
-    distinct = texts.groupBy("words").agg(F.first("loose").alias("loose"))
-    classes = written(word_sets(distinct.select(F.monotonically_increasing_id().alias("cid"), "words", "loose"), width), "classes")
-    return texts.select("rec", "words", "key"), classes
-
-
-def near_duplicate_pairs(records: DataFrame, text: str = "text", rec: str = "rec", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """Pairs (rec_a, rec_b), rec_a first by code point, with a similarity above the threshold, without those that are
-    the same but for formatting (problem 4)."""
-    members, classes = _classes(records, text, rec, width)
-    named = members.join(classes.select("cid", "words"), "words").select("cid", "rec", "key")
-    found = written(similar_classes(classes, threshold), "pairs")
+    classes = written(voronoi(texts, width, bound), "classes")
+    return texts, classes, similar_classes(classes, width, bound)
+
+
+def _finished(df: DataFrame, name: str, *used: DataFrame) -> DataFrame:
+    done = written(df, name)
+    for table in used:
+        drop(table)
+    return done
+
+
+def near_duplicate_pairs(records: DataFrame, text: str = "text", rec: str = "rec", width: int = 5, threshold: float = 0.8, inclusive: bool = True) -> DataFrame:
+    """Pairs (rec_a, rec_b), rec_a first by code point, with a similarity of at least the threshold (above it unless
+    ``inclusive``), without those that are the same but for formatting (problem 4)."""
+    texts, classes, links = _linked(records, text, rec, width, threshold, inclusive)
+    some = links.select(F.explode(F.array("cid_a", "cid_b")).alias("cid")).distinct()
+    named = texts.select("rec", "words", "key").join(classes.select("cid", "words").join(some, "cid", "left_semi"), "words").select("cid", "rec", "key")
     a = named.toDF("cid_a", "a", "key_a")
     b = named.toDF("cid_b", "b", "key_b")
-    return found.join(a, "cid_a").join(b, "cid_b").filter("key_a <> key_b").select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b"))
-
-
-def near_duplicate_groups(records: DataFrame, text: str = "text", rec: str = "rec", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """One row (rec, group_id, n_links) for each record with a set: its connected component, named by the smallest rec,
-    and the number of other word sequences it is similar to."""
-    members, classes = _classes(records, text, rec, width)
-    found = written(similar_classes(classes, threshold).select("cid_a", "cid_b"), "pairs")
-    linked = found.select(F.col("cid_a").alias("cid")).unionAll(found.select("cid_b")).groupBy("cid").agg(F.count("*").alias("n_links"))
-    labels = components(found.toDF("a", "b"))
-    named = members.join(classes.select("cid", "words"), "words").join(labels.toDF("cid", "label"), "cid", "left").join(linked, "cid", "left")
-    named = named.select("rec", F.coalesce("label", "cid").alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
+    pairs = links.join(a, "cid_a").join(b, "cid_b").filter("key_a <> key_b").select(F.least("a", "b").alias("rec_a"), F.greatest("a", "b").alias("rec_b"))
+    return _finished(pairs, "pairs", texts, classes, links)
+
+
+def near_duplicate_groups(records: DataFrame, text: str = "text", rec: str = "rec", width: int = 5, threshold: float = 0.8, inclusive: bool = True) -> DataFrame:
+    """One row (rec, group_id, n_links) for each record: its connected component, named by the smallest rec, and the
+    number of other word sequences it is linked to. Records without a run are grouped by equal word sequences; a
+    record with a null text is a group of its own. Both have no links."""
+    texts, classes, links = _linked(records, text, rec, width, threshold, inclusive)
+    linked = links.select(F.col("cid_a").alias("cid")).unionAll(links.select("cid_b")).groupBy("cid").agg(F.count("*").alias("n_links"))
+    labels = components(links.toDF("a", "b"))
+    labelled = classes.select("cid", "words").join(labels.toDF("cid", "label"), "cid", "left").join(linked, "cid", "left").select("words", F.coalesce("label", "cid").cast("string").alias("label"), "n_links")
+    named = texts.select("rec", "words").join(labelled, "words", "left")
+    # names of classes are digits, of word sequences without a run w: and a digest, of null texts r: and the record
+    own = F.coalesce(F.col("label"), F.concat(F.lit("w:"), F.col("words")), F.concat(F.lit("r:"), F.col("rec")))
+    named = named.select("rec", own.alias("label"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
     names = named.groupBy("label").agg(F.min("rec").alias("group_id"))
-    return named.join(names, "label").select("rec", "group_id", "n_links")
+    return _finished(named.join(names, "label").select("rec", "group_id", "n_links"), "groups", texts, classes, links)

@@ -11,7 +11,7 @@ from . import exact_duplicates, lookalikes, mixing, near_duplicates, packing, qu
 from .canon import canonical_text
 from .records import corpus, records
 
-P1 = {"width": 3, "threshold": 0.5}
+P1 = {"width": 3, "threshold": 0.5, "inclusive": False}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
