@@ -81,8 +81,8 @@ def pieces(batch: pa.RecordBatch, at: int, most: int = 4_000_000) -> Iterator[pa
         start = end
 
 
-def run_table(texts: pa.Array, width: int, hashes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(ends, runs): the sorted distinct 64-bit hashes of the runs of ``width`` words of each text, one after the other.
+def raw_runs(texts: pa.Array, width: int, hashes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, run): the 64-bit hash of each run of ``width`` words, and the index of its text, in order of the text.
     Texts are words with single blanks between; all texts of a batch are done at once."""
     lists = pc.split_pattern(texts, " ")
     flat = lists.flatten().dictionary_encode()
@@ -90,7 +90,7 @@ def run_table(texts: pa.Array, width: int, hashes: dict[str, int]) -> tuple[np.n
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
     n = len(one) - width + 1
     if n <= 0:
-        return np.zeros(len(texts) + 1, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     run = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(width):
@@ -99,12 +99,33 @@ def run_table(texts: pa.Array, width: int, hashes: dict[str, int]) -> tuple[np.n
             run = run * _B + _C
         run ^= run >> np.uint64(32)
     inside = owner[:n] == owner[width - 1 :]
-    owner, run = owner[:n][inside], run[inside].view(np.int64)
-    order = np.lexsort((run, owner))
+    return owner[:n][inside], run[inside].view(np.int64)
+
+
+def _ordered(owner: np.ndarray, run: np.ndarray, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Owners and distinct runs in the order (owner, rank, run). One sort of a 64-bit key that holds most of the three;
+    should two different runs have one key, all three are sorted."""
+    few = np.uint64(22)
+    key = owner.astype(np.uint64) << (np.uint64(64) - few)
+    if rank is None:
+        key |= run.view(np.uint64) >> few
+    else:
+        rank = np.minimum(rank, (1 << 18) - 1)
+        key |= (rank.astype(np.uint64) << np.uint64(24)) | (run.view(np.uint64) >> np.uint64(40))
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    if (same & (run[order[1:]] != run[order[:-1]])).any():
+        order = np.lexsort((run.view(np.uint64), owner) if rank is None else (run.view(np.uint64), rank, owner))
     owner, run = owner[order], run[order]
     new = np.ones(len(run), bool)
     new[1:] = (run[1:] != run[:-1]) | (owner[1:] != owner[:-1])
-    return np.searchsorted(owner[new], np.arange(len(texts) + 1)), run[new]
+    return owner[new], run[new]
+
+
+def run_table(texts: pa.Array, width: int, hashes: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, runs): the distinct runs of each text, ordered as unsigned numbers, one text after the other."""
+    owner, run = _ordered(*raw_runs(texts, width, hashes))
+    return np.searchsorted(owner, np.arange(len(texts) + 1)), run
 
 
 def run_hashes(words: list[str], width: int, hashes: dict[str, int]) -> np.ndarray:
@@ -114,7 +135,7 @@ def run_hashes(words: list[str], width: int, hashes: dict[str, int]) -> np.ndarr
 
 def word_texts(records: DataFrame, text: str, rec: str, width: int) -> DataFrame:
     """(rec, words: digest of the word sequence, key: digest of the form of problem 4, low: the smallest run hash, n: the
-    number of runs, loose: the words). ``low`` is null for a text without a run, all but ``rec`` for a null text. A word
+    number of runs, repeated ones included, loose: the words). ``low`` is null for a text without a run, all but ``rec`` for a null text. A word
     sequence met before in the partition is not repeated: its ``loose`` is null."""
     sql = form_query("rec, sha256(loose) AS words, sha256(key) AS key, loose")
 
@@ -124,11 +145,12 @@ def word_texts(records: DataFrame, text: str, rec: str, width: int) -> DataFrame
         def with_low(t: pa.Table) -> pa.Table:
             t = t.combine_chunks()
             rec_, words, key, loose = (c.chunk(0) if c.num_chunks else pa.array([], pa.string()) for c in t.columns)
-            ends, runs = run_table(pc.fill_null(loose, ""), width, hashes)
-            n = np.diff(ends)
+            owner, runs = raw_runs(pc.fill_null(loose, ""), width, hashes)
+            n = np.bincount(owner, minlength=len(loose))
             has = n > 0
             low = np.zeros(len(n), np.int64)
-            low[has] = runs[ends[:-1][has]]
+            if len(runs):
+                low[has] = np.minimum.reduceat(runs, np.searchsorted(owner, np.flatnonzero(has)))
             fresh = np.ones(len(n), bool)
             for i, w in enumerate(words.to_pylist()):
                 fresh[i] = w not in seen
@@ -187,7 +209,7 @@ def voronoi(texts: DataFrame, width: int, bound: Bound) -> DataFrame:
 
         def close() -> None:
             nonlocal at
-            home = divide([s for _, _, s in group], radius) if len(group) > 1 else [(0, 0.0)] * len(group)
+            home = divide([np.unique(s) for _, _, s in group], radius) if len(group) > 1 else [(0, 0.0)] * len(group)
             widest: dict[int, float] = {}
             for p, d in home:
                 widest[p] = max(widest.get(p, 0.0), d)
@@ -205,7 +227,8 @@ def voronoi(texts: DataFrame, width: int, bound: Bound) -> DataFrame:
         for whole in batches:
             for b in pieces(whole, 2):
                 words, loose = b.column(1).to_pylist(), b.column(2).to_pylist()
-                ends, runs = run_table(b.column(2), width, hashes)
+                owner, runs = raw_runs(b.column(2), width, hashes)
+                ends = np.searchsorted(owner, np.arange(b.num_rows + 1))
                 for i, low in enumerate(b.column(0).to_pylist()):
                     if words[i] == before:
                         continue
@@ -213,7 +236,7 @@ def voronoi(texts: DataFrame, width: int, bound: Bound) -> DataFrame:
                     if low != last or len(group) >= HELD:
                         close()
                         last = low
-                    group.append((words[i], loose[i], runs[ends[i] : ends[i + 1]].copy()))
+                    group.append((words[i], loose[i], runs[ends[i] : ends[i + 1]]))
                 yield rows()
         close()
         yield rows()
@@ -226,12 +249,12 @@ def voronoi(texts: DataFrame, width: int, bound: Bound) -> DataFrame:
 
 
 def _counts(classes: DataFrame, width: int) -> np.ndarray:
-    """How many runs of all classes fall on each counter."""
+    """How many runs of all classes fall on each counter, a class's repeated runs counted again."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, hashes = np.zeros(COUNTERS, np.int64), _Hashes()
         for b in (p for whole in batches for p in pieces(whole, 0)):
-            total += np.bincount(run_table(b.column(0), width, hashes)[1] & (COUNTERS - 1), minlength=COUNTERS)
+            total += np.bincount(raw_runs(b.column(0), width, hashes)[1] & (COUNTERS - 1), minlength=COUNTERS)
         at = np.flatnonzero(total)
         for k in range(0, len(at), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)]), pa.array(total[at[k : k + (1 << 16)]])], names=["counter", "n"])
@@ -255,15 +278,14 @@ def windows(classes: DataFrame, counts, width: int, bound: Bound) -> DataFrame:
         table, hashes = counts.value, _Hashes()
         for whole in batches:
             for b in pieces(whole, 2):
-                ends, runs = run_table(b.column(2), width, hashes)
-                sizes = np.diff(ends)
-                owner = np.repeat(np.arange(len(sizes)), sizes)
+                owner, runs = raw_runs(b.column(2), width, hashes)
+                owner, runs = _ordered(owner, runs, table[runs & (COUNTERS - 1)])
+                sizes = np.bincount(owner, minlength=b.num_rows)
                 bits = _parity(owner, runs, len(sizes), 256, 40)
-                order = np.lexsort((runs, table[runs & (COUNTERS - 1)], owner))
-                pos = np.arange(len(runs)) - np.repeat(ends[:-1], sizes)
+                pos = np.arange(len(runs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                 keep = pos < (sizes - bound.least(sizes, bound.t) + 1)[owner]
                 w = owner[keep]
-                columns = (runs[order][keep], b.column(0).to_numpy()[w], b.column(1).to_numpy()[w], sizes[w].astype(np.int32), pos[keep].astype(np.int32), *(bits[w, j] for j in range(4)))
+                columns = (runs[keep], b.column(0).to_numpy()[w], b.column(1).to_numpy()[w], sizes[w].astype(np.int32), pos[keep].astype(np.int32), *(bits[w, j] for j in range(4)))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", "cid", "home", "n", "pos", "b0", "b1", "b2", "b3"])
 
     return classes.select("cid", "home", "loose").mapInArrow(work, "run bigint, cid bigint, home bigint, n int, pos int, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
@@ -315,8 +337,10 @@ def _sets(marked: DataFrame, width: int) -> DataFrame:
 def _compared(pairs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
     """(cid_a, cid_b, radius of a, n_both, n_common) of the pairs, on whole sets."""
     sets = _sets(_marked(classes, pairs), width)
-    both = pairs.select("cid_a", "cid_b").join(sets.toDF("cid_a", "radius", "runs_a"), "cid_a").join(sets.select(F.col("cid").alias("cid_b"), F.col("runs").alias("runs_b")), "cid_b")
-    return both.select("cid_a", "cid_b", "radius", (F.size("runs_a") + F.size("runs_b")).alias("n_both"), F.size(F.array_intersect("runs_a", "runs_b")).alias("n_common"))
+    # one struct for both sides, so that they read one and the same shuffle
+    held = sets.select("cid", F.struct("radius", "runs").alias("s"))
+    both = pairs.select("cid_a", "cid_b").join(held.toDF("cid_a", "a"), "cid_a").join(held.toDF("cid_b", "b"), "cid_b")
+    return both.select("cid_a", "cid_b", "a.radius", (F.size("a.runs") + F.size("b.runs")).alias("n_both"), F.size(F.array_intersect("a.runs", "b.runs")).alias("n_common"))
 
 
 def similar_classes(classes: DataFrame, width: int, bound: Bound) -> DataFrame:
