@@ -3,19 +3,27 @@
 All figures are built-in Spark expressions over one scan. Disguises (look-alike letters, invisible characters, unusual
 spaces) are undone with ``translate`` before counting, so a disguised text has its own figures.
 
-The rules are the published fixed thresholds below; each that fails is recorded in ``reasons``. The verdict is prose or
-not: only the share of common words decides it, since in prose of any layout every third word is one, and in lists,
-tables, labelled fields and junk hardly any is; ``kind`` names what the text is instead.
+The rules are published fixed thresholds; each that fails is recorded in ``reasons``, and ``passes`` tells whether none
+did. They are of two sorts:
 
+``PROSE_RULES``   what running text must meet in any layout: two or more occurrences of a language's stop words (any of
+                  ``STOP_WORDS``' languages), words of common length, mostly words with letters, few marks, not nearly
+                  all lines with bullets. A text that fails one is not prose, and ``kind`` names what it is instead.
+the others        length, closing punctuation, short and trailing lines. Prose that is short, wrapped or unpunctuated
+                  fails them and is still prose: they count for ``passes`` only.
+
+Languages written without blanks between words are not covered: their texts fail the rules on words.
 A null or empty text has zero counts and null ratios, reasons ["empty"], and is not prose (kind "junk").
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .canon import INVISIBLE, single_map
+from .canon import INVISIBLE, multi_map, single_map
 
 # --- fixed values: common English words; the stop words and thresholds of published filter rules ------
 COMMON = (
@@ -25,21 +33,38 @@ COMMON = (
     "below to from up down in out on off over under than so not no nor only each both all any such same every some "
     "upon within without near along beside behind beyond inside across around past whereas although though"
 ).split()
-STOP_WORDS = ("the", "be", "to", "of", "and", "that", "have", "with")
+STOP_WORDS = {
+    "en": ("the", "be", "to", "of", "and", "that", "have", "with"),
+    "fr": ("les", "des", "est", "que", "une", "dans", "pour", "pas"),
+    "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "mit"),
+    "es": ("los", "las", "que", "una", "por", "con", "del", "para"),
+    "it": ("che", "non", "per", "con", "una", "del", "della", "sono"),
+    "nl": ("het", "een", "van", "dat", "niet", "met", "voor", "zijn"),
+    "pt": ("que", "uma", "para", "com", "não", "dos", "por", "mais"),
+}
 MIN_WORDS, MIN_MEAN_LENGTH, MAX_MEAN_LENGTH = 50, 3.0, 10.0
 MAX_SYMBOLS_PER_WORD, MAX_BULLET_LINES, MAX_ELLIPSIS_LINES = 0.1, 0.9, 0.3
 MIN_ALPHABETIC_WORDS, MIN_STOP_WORDS = 0.8, 2
 MIN_TERMINAL_LINES, MAX_SHORT_LINES, SHORT_LINE = 0.12, 0.67, 30
-MIN_COMMON_SHARE = 0.2
+PROSE_RULES = ("empty", "stop_words", "mean_word_length", "alphabetic_words", "symbols_per_word", "bullet_lines")
 # --------------------------------------------------------------------------------------------------------
 
 _NOT_WORD = r"[^\p{L}\p{M}\p{N}'’-]+"
 
 
 def plain(text: Column) -> Column:
-    """``text`` with look-alike letters and unusual spaces mapped and invisible characters removed."""
-    table = {k: v for k, v in single_map().items() if ord(k) < 0x10000}
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, "".join(table) + INVISIBLE, "".join(table.values()))).otherwise(text)
+    """``text`` with look-alike letters, unusual spaces and ligatures mapped and invisible characters removed."""
+    table = single_map()
+    several = F.translate(text, "".join(table) + INVISIBLE, "".join(table.values()))
+    for k, v in multi_map().items():
+        several = F.replace(several, F.lit(k), F.lit(v))
+    one = F.translate(text, "".join(table) + INVISIBLE, "".join(table.values()))
+    return F.when(text.rlike("[" + "".join(multi_map()) + "]"), several).when(text.rlike(r"[^\x00-\x7F]"), one).otherwise(text)
+
+
+def _held(words: str, own) -> Column:
+    """How many of the words are among ``own``, repeated ones counted again."""
+    return F.size(F.filter(words, lambda w: w.isin(*own)))
 
 
 def statistics(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
@@ -54,8 +79,8 @@ def statistics(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",))
         F.size("__w").alias("n_words"),
         F.size("__lines").alias("n_lines"),
         F.length(F.array_join("__w", "")).alias("__letters"),
-        F.size(F.filter("__w", lambda w: w.isin(COMMON))).alias("__common"),
-        F.size(F.array_intersect("__w", F.array(*map(F.lit, STOP_WORDS)))).alias("n_stop_words"),
+        _held("__w", COMMON).alias("__common"),
+        F.greatest(*[_held("__w", own) for own in STOP_WORDS.values()]).alias("n_stop_words"),
         F.size(F.filter("__w", lambda w: w.rlike(r"\p{L}"))).alias("__alphabetic"),
         F.size(F.array_distinct("__w")).alias("__distinct"),
         F.length(F.regexp_replace("__t", r"[\p{L}\p{M}\p{N}\s.,;:!?'\"“”‘’()—–-]+", "")).alias("__symbols"),
@@ -93,17 +118,19 @@ def judged(stats: DataFrame) -> DataFrame:
         "stop_words": (c("n_words") > 0) & (c("n_stop_words") < MIN_STOP_WORDS),
         "terminal_lines": c("terminal_line_share") < MIN_TERMINAL_LINES,
         "short_lines": c("short_line_share") > MAX_SHORT_LINES,
-        "common_words": c("common_word_share") < MIN_COMMON_SHARE,
     }
-    prose = F.coalesce(c("common_word_share") >= MIN_COMMON_SHARE, F.lit(False))
+    failed = {k: F.coalesce(v, F.lit(False)) for k, v in fails.items()}
+    prose = ~reduce(Column.__or__, [failed[k] for k in PROSE_RULES])
     kind = (
         F.when(prose, "prose").when(c("n_words") == 0, "junk")
         .when((c("cell_line_share") >= 0.5) & (c("n_lines") >= 2) & (c("number_share") > 0.2), "table")
         .when((c("n_fields") >= 3) & (c("symbol_ratio") < 0.1), "fields")
+        .when(c("bullet_line_share") >= 0.5, "list")
         .when((c("symbol_ratio") > 0.15) | (c("distinct_word_share") < 0.4) | (c("number_share") > 0.6), "junk")
-        .when((c("bullet_line_share") >= 0.5) | (c("n_lines") >= 3), "list").otherwise("junk")
+        .when(c("n_lines") >= 3, "list").otherwise("junk")
     )
-    return stats.withColumns({"reasons": F.filter(F.array(*[F.when(F.coalesce(v, F.lit(False)), F.lit(k)) for k, v in fails.items()]), lambda r: r.isNotNull()), "is_prose": prose, "kind": kind})
+    reasons = F.filter(F.array(*[F.when(v, F.lit(k)) for k, v in failed.items()]), lambda r: r.isNotNull())
+    return stats.withColumns({"reasons": reasons, "is_prose": prose, "kind": kind}).withColumn("passes", F.size("reasons") == 0)
 
 
 def quality(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:

@@ -6,6 +6,7 @@ import pytest
 from proofline.llm import quality, readability
 
 PROSE = "The old man walked to the river because he wanted to see the boats. His daughter followed him, and she carried a basket with bread for the two of them. "
+FRENCH = "Le vieil homme marchait vers la rivière parce qu'il voulait voir les bateaux. Sa fille le suivait avec un panier de pain, et le chien courait devant eux dans les champs. " * 2
 
 
 def _judge(spark, texts):
@@ -17,13 +18,16 @@ def test_verdicts(spark):
     texts = [
         PROSE * 3, PROSE.upper(), PROSE.replace(".", "").replace(",", ""), PROSE.replace("a", "а").replace("e", "е​"), PROSE * 2 + "\n- red pen\n- blue pen\n" + PROSE,
         "- red pen\n- blue pen 3\n- green ink\n- dry paper", "size: big red | maker: mill | colour: blue | grade: four", "a\tb\tc\nx\t12.5\t3\ny\t14\t5\nz\t1\t2", "@#$% ^&*[] {}|| ~~<> #$%",
-        "bcd fgh jklm npqr stvw", None, "", "   ",
+        "bcd fgh jklm npqr stvw", None, "", "   ", "\n".join(f"- {PROSE}" for _ in range(12)), FRENCH, "𝐓𝐡𝐞 𝐨𝐥𝐝 𝐦𝐚𝐧 𝐟𝐞𝐝 𝐭𝐡𝐞 𝐝𝐨𝐠 𝐚𝐧𝐝 𝐭𝐡𝐞 𝐜𝐚𝐭", "The ﬁsh of the ﬂock and the ﬂeet",
     ]
     got = _judge(spark, texts)
-    assert [got[i].is_prose for i in range(len(texts))] == [True] * 5 + [False] * 8
+    assert [got[i].is_prose for i in range(len(texts))] == [True] * 5 + [False] * 9 + [True] * 3
     assert [got[i].kind for i in (5, 6, 7, 8, 10)] == ["list", "fields", "table", "junk", "junk"]
     assert got[10].reasons == got[11].reasons == ["empty"] and got[10].mean_word_length is None
-    assert "common_words" in got[5].reasons and "bullet_lines" in got[5].reasons and got[0].reasons == []
+    assert "stop_words" in got[5].reasons and "bullet_lines" in got[5].reasons and got[0].reasons == [] and got[0].passes
+    assert got[13].kind == "list" and got[13].reasons == ["bullet_lines"]
+    assert "terminal_lines" in got[2].reasons and not got[2].passes
+    assert got[16].mean_word_length == pytest.approx((3 + 4 + 2 + 3 + 5 + 3 + 3 + 5) / 8)
 
 
 def test_figures(spark):
