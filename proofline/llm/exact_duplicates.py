@@ -1,7 +1,8 @@
 """Problem 4: records that are the same but for white space, case, punctuation or field order.
 
-Canonical records are range-partitioned and externally sorted by (key, id); each partition is then scanned once,
-comparing the full keys of adjacent rows. The id is part of the sort order, so a key held by a third of all rows is
+Canonical records are range-partitioned and externally sorted by (digest of the key, id); each partition is then scanned
+once, comparing the full keys of adjacent rows. Only digests and ids are sampled for the ranges, so no text reaches the
+driver. The id is part of the sort order, so a key held by a third of all rows is
 spread over many partitions; runs cut by a partition's border are stitched from two rows per partition.
 
 Nulls: rows whose text is null take part in no group. Empty texts, and texts without letters or digits, form one
@@ -55,9 +56,9 @@ def duplicate_groups(df: DataFrame, text: str = "text", id: str = "doc_id") -> D
     """One row (first_id, id) for each row of ``df`` with a text: the smallest id of its group, and its own.
     The ids must be unique; other columns are not read."""
     spark = df.sparkSession
-    keyed = written(forms(df, text, {"key": "key"}, [id]).filter("key is not null").select("key", F.col(f"`{id}`").cast("bigint").alias("id")), "keys")
+    keyed = written(forms(df, text, {"key": "key", "digest": "sha256(key)"}, [id]).toDF("id", "key", "digest").filter("key is not null").withColumn("id", F.col("id").cast("bigint")), "keys")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = keyed.repartitionByRange(parts, "key", "id").sortWithinPartitions("key", "id")
+    sorted_ = keyed.repartitionByRange(parts, "digest", "id").sortWithinPartitions("digest", "id").select("key", "id")
     runs = written(sorted_.mapInArrow(_scan, "part bigint, leading boolean, first_id bigint, id bigint, first_key string, last_key string"), "runs")
     # one border row per partition: their number is bounded by the partitions, whatever the data
     borders = runs.filter("id is null").orderBy("part").collect()
@@ -78,5 +79,8 @@ def duplicate_groups(df: DataFrame, text: str = "text", id: str = "doc_id") -> D
 
 
 def representatives(df: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:  # noqa: A002
-    """One row (first_id, copies) for each distinct text of ``df``."""
-    return duplicate_groups(df, text, id).groupBy("first_id").agg(F.count("*").alias("copies"))
+    """One row (first_id, copies, text) for each distinct text of ``df``: the record with the smallest id stands for
+    its copies, itself counted."""
+    counted = duplicate_groups(df, text, id).groupBy("first_id").agg(F.count("*").alias("copies"))
+    records = df.select(F.col(f"`{id}`").cast("bigint").alias("first_id"), F.col(f"`{text}`").alias("text"))
+    return counted.join(records, "first_id").select("first_id", "copies", "text")

@@ -3,11 +3,12 @@
 Documents and words are the nodes; each document is joined with its distinct words. Graded documents are clamped to the
 mean of their grades. In each iteration a word takes the mean of its documents and a document the mean of its words.
 Word nodes are hashed to ``WORD_NODES`` nodes, so the words' values are a table of fixed size that is broadcast; the
-documents stay where they are and only sums by word node are shuffled. Levels are cut where the
-graded documents' own unclamped values separate best.
+documents stay where they are and only sums by word node are shuffled. The iterations end when the words' values, as
+standard scores weighted by their documents, move by less than ``TOLERANCE`` (root mean square); that always happens, as
+harmonic iterations converge. Levels are cut where the graded documents' own unclamped values separate best.
 
-Only English running prose gets a level: the share of English function words tells it from other languages, lists,
-tables and junk. Everything else, null and empty texts included, has a null level and the reason for it. Without any
+Only English running prose gets a level: texts that meet the published rules of running text (problem 2: stop words,
+words with letters, bullets) and hold at least as many stop words of English as of any other language. Everything else, null and empty texts included, has a null level and the reason for it. Without any
 usable grade all levels are null. Repeated grades of one document are averaged; null grades are ignored.
 """
 
@@ -23,19 +24,17 @@ from pyspark.sql import functions as F
 
 from ..scratch import written
 from .canon import forms
+from .quality import MAX_BULLET_LINES, MIN_ALPHABETIC_WORDS, MIN_STOP_WORDS, STOP_WORDS
 
 WORD_NODES = 1 << 18
-ITERATIONS = 8
+TOLERANCE = 0.002
 CELLS, NEAR, SLACK = 4000, 25, 0.05  # where and how the cuts are looked for
 # --- fixed values -------------------------------------------------------------------------------------
-ENGLISH = frozenset(
-    "the a an and or but of to in on at by for with from is was were be been being are am it its he she they we i you his her their our my your this that "
-    "these those not as so if because while until after before over under near along beside behind beyond past across around within without upon whereas "
-    "although though into through than then there when which who whom whose where what every some any all each no nobody someone everyone one such".split()
-)
-MIN_ENGLISH_SHARE = 0.2
 LEVELS = (1, 2, 3, 4)
-NO_WORDS, NOT_ENGLISH_PROSE, NO_WORD_NODES, NO_GRADES = "no_words", "not_english_prose", "only_numbers_and_letters", "no_grades"
+# lines with a bullet or number in front, and lines with anything on them
+BULLETS_SQL = r"len(regexp_extract_all(visual, '(?m)^[ \t]*(?:[-*+•‣▪]|[0-9]{1,3}[.)])[ \t]+[^ \t\n]'))"
+LINES_SQL = r"len(regexp_extract_all(visual, '(?m)^.*[^ \t\n].*$'))"
+NO_WORDS, NOT_ENGLISH_PROSE, NO_GRADES = "no_words", "not_english_prose", "no_grades"
 # --------------------------------------------------------------------------------------------------------
 
 
@@ -48,26 +47,38 @@ class _Nodes(dict):
         return value
 
 
+_STOP = {language: frozenset(own) for language, own in STOP_WORDS.items()}
+
+
+def english_prose(words: list[str], bullets: int, lines: int) -> bool:
+    """Whether lower-case words of a text, with its lines and bulleted lines, are English running text."""
+    held = {language: sum(map(own.__contains__, words)) for language, own in _STOP.items()}
+    return (
+        held["en"] >= MIN_STOP_WORDS
+        and held["en"] == max(held.values())
+        and len(words) - sum(map(str.isdigit, words)) >= MIN_ALPHABETIC_WORDS * len(words)
+        and bullets <= MAX_BULLET_LINES * lines
+    )
+
+
 def word_nodes(documents: DataFrame, text: str, id: str) -> DataFrame:  # noqa: A002
     """(id, nodes, reason) for each text: its distinct word nodes, or none and the reason why it can't be levelled."""
-    loose = forms(documents, text, {"loose": "loose"}, [id])
+    loose = forms(documents, text, {"loose": "loose", "bullets": f"CAST({BULLETS_SQL} AS VARCHAR)", "lines": f"CAST({LINES_SQL} AS VARCHAR)"}, [id])
     kind = loose.schema[0].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, english = _Nodes(), ENGLISH
+        nodes = _Nodes()
         for b in batches:
             lists, reasons = [], []
-            for t in b.column(1).to_pylist():
+            for t, bullets, lines in zip(*(b.column(k).to_pylist() for k in (1, 2, 3))):
                 words, own, reason = (t or "").split(), set(), None
-                # whether a text is English prose is counted over all its words, not only the distinct ones
                 if not words:
                     reason = NO_WORDS
-                elif sum(map(english.__contains__, words)) < MIN_ENGLISH_SHARE * len(words):
+                elif not english_prose(words, int(bullets), int(lines)):
                     reason = NOT_ENGLISH_PROSE
                 else:
                     own = {nodes[w] for w in set(words)}
                     own.discard(-1)
-                    reason = None if own else NO_WORD_NODES
                 lists.append(np.fromiter(own, np.int32, len(own)))
                 reasons.append(reason)
             ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
@@ -87,14 +98,22 @@ def _means(flat: np.ndarray, ends: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.add.reduceat(words[flat], ends[:-1]) / np.diff(ends)
 
 
-def propagate(graph: DataFrame, iterations: int = ITERATIONS) -> np.ndarray | None:
-    """The word nodes' values after the iterations, for (grade, nodes); None without grades."""
+def _standard(words: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The values as standard scores, each word weighted by its documents."""
+    mean = np.average(words, weights=n)
+    spread = np.sqrt(np.average((words - mean) ** 2, weights=n))
+    return (words - mean) / spread if spread > 1e-12 else words - mean
+
+
+def propagate(graph: DataFrame, tolerance: float = TOLERANCE) -> np.ndarray | None:
+    """The word nodes' values when they have settled, for (grade, nodes); None without grades."""
     spark = graph.sparkSession
     start = graph.agg(F.avg("grade")).first()[0]
     if start is None:
         return None
+    before = None
     words = np.full(WORD_NODES, start, np.float64)
-    for _ in range(iterations):
+    while True:
         held = spark.sparkContext.broadcast(words)
 
         def work(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -113,9 +132,14 @@ def propagate(graph: DataFrame, iterations: int = ITERATIONS) -> np.ndarray | No
 
         sums = graph.mapInArrow(work, "node int, total double, n bigint").groupBy("node").agg(F.sum("total").alias("total"), F.sum("n").alias("n")).toArrow()
         words = np.full(WORD_NODES, start, np.float64)
-        words[sums.column(0).to_numpy()] = sums.column(1).to_numpy() / sums.column(2).to_numpy()
-        held.unpersist()
-    return words
+        at, n = sums.column(0).to_numpy(), np.zeros(WORD_NODES)
+        n[at] = sums.column(2).to_numpy()
+        words[at] = sums.column(1).to_numpy() / n[at]
+        held.destroy()
+        now = _standard(words, n)
+        if before is not None and np.sqrt(np.average((now - before) ** 2, weights=n)) < tolerance:
+            return words
+        before = now
 
 
 def _cuts(scored: DataFrame) -> list[float]:
@@ -144,7 +168,7 @@ def _cuts(scored: DataFrame) -> list[float]:
     return list(np.maximum.accumulate(cuts))
 
 
-def document_levels(documents: DataFrame, grades: DataFrame, text: str = "text", id: str = "doc_id", grade: str = "level", iterations: int = ITERATIONS) -> DataFrame:  # noqa: A002
+def document_levels(documents: DataFrame, grades: DataFrame, text: str = "text", id: str = "doc_id", grade: str = "level", tolerance: float = TOLERANCE) -> DataFrame:  # noqa: A002
     """(id, score, level, reason) for each document; the score runs from easy to hard. Where there is no level, score
     and level are null and the reason says why; elsewhere the reason is null."""
     spark = documents.sparkSession
@@ -152,7 +176,7 @@ def document_levels(documents: DataFrame, grades: DataFrame, text: str = "text",
     every = written(word_nodes(documents, text, id).join(graded, "id", "left").select("id", "grade", "nodes", "reason"), "graph")
     graph = every.filter("reason is null").select("id", "grade", "nodes")
     unlevelled = lambda df, reason: df.select("id", F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("level"), reason.alias("reason"))
-    words = propagate(graph.select("grade", "nodes"), iterations)
+    words = propagate(graph.select("grade", "nodes"), tolerance)
     kind = graph.schema["id"].dataType.simpleString()
     if words is None:
         return unlevelled(every, F.coalesce("reason", F.lit(NO_GRADES))).withColumnRenamed("id", id)
@@ -171,7 +195,7 @@ def document_levels(documents: DataFrame, grades: DataFrame, text: str = "text",
     return levelled.unionByName(unlevelled(every.filter("reason is not null"), F.col("reason"))).withColumnRenamed("id", id)
 
 
-def reading_levels(documents: DataFrame, grades: DataFrame, text: str = "text", id: str = "doc_id", grade: str = "level", iterations: int = ITERATIONS) -> DataFrame:  # noqa: A002
+def reading_levels(documents: DataFrame, grades: DataFrame, text: str = "text", id: str = "doc_id", grade: str = "level", tolerance: float = TOLERANCE) -> DataFrame:  # noqa: A002
     """(id, score, level) for each document in English prose only: ``document_levels`` without the others."""
     prose = F.coalesce("reason", F.lit(NO_GRADES)) == NO_GRADES
-    return document_levels(documents, grades, text, id, grade, iterations).filter(prose).drop("reason")
+    return document_levels(documents, grades, text, id, grade, tolerance).filter(prose).drop("reason")

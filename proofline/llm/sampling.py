@@ -2,8 +2,8 @@
 
 Records are counted by category signature (their categories in all fields of the table at once; a category without a
 target counts as "other"). The number of signatures is bounded by the target table. A random sample that meets the
-floors is drawn as signature counts, and counts are exchanged between signatures while that lowers the deviation from
-the targets; the result is drawn from the records by hash thresholds, without collecting or sorting them.
+floors is drawn as signature counts: first what the floors need, then a random rest. Counts are exchanged between
+signatures while that lowers the deviation from the targets and breaks no floor; the result is drawn from the records by hash thresholds, without collecting or sorting them.
 
 Categories are compared without outer blanks and letter case. Nulls: a null category, or a null in a struct above it,
 is "other". A category with fewer rows than it needs gives all it has and is reported as short. A table with no rows
@@ -13,6 +13,7 @@ gives an empty sample, and all its categories with a positive need are short.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -33,34 +34,66 @@ def folded(column: Column) -> Column:
     return F.lower(F.regexp_replace(column.cast("string"), r"(?U)^\s+|\s+$", ""))
 
 
-def repair(available: np.ndarray, member: np.ndarray, goal: np.ndarray, floor: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+def _start(available: np.ndarray, cats: np.ndarray, floor: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """A random sample that meets the floors as far as rows allow: it has ``size`` rows, or more if the floors need more."""
+    x = np.zeros(available.size, np.int64)
+    held = lambda c: (cats == c).any(0)
+    for c in sorted(range(len(floor)), key=lambda c: (available[held(c)].sum() - floor[c], c)):  # the scarcest first
+        own = rng.permutation(np.flatnonzero(held(c)))
+        while (need := floor[c] - x[own].sum()) > 0 and (free := own[x[own] < available[own]]).size:
+            x[free] += np.minimum(available[free] - x[free], -(-need // free.size)) * (np.arange(free.size) < need)
+    rest = max(0, size - int(x.sum()))
+    left = available - x
+    more = np.minimum(np.floor(left * rest / max(1, left.sum()) + rng.random(left.size)).astype(np.int64), left)
+    while d := rest - int(more.sum()):
+        free = np.flatnonzero(left > more) if d > 0 else np.flatnonzero(more > 0)
+        more[rng.permutation(free)[: abs(d)]] += np.sign(d)
+    return x + more
+
+
+def repair(available: np.ndarray, cats: np.ndarray, goal: np.ndarray, floor: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
     """Counts per signature: at most ``available``, ``size`` in all if there are as many, category counts at least
-    ``floor`` where rows allow, and near ``goal``. member[c, s] is 1 where signature s has category c."""
+    ``floor`` where rows allow, and near ``goal``. ``cats[f, s]`` is the target that signature s has in field f, or -1.
+
+    What an exchange changes is a sum over fields but for those in which both signatures have one category, where it
+    changes nothing. So the best exchange is found per set of shared fields from the best giver and the best taker of
+    each combination of categories, in time linear in the signatures."""
     size = int(min(size, available.sum()))
     if size <= 0 or available.size == 0:
         return np.zeros(available.size, np.int64)
-    # a random sample of the size, spread over the signatures as a draw without replacement would be in expectation
-    share = available * size / max(1, available.sum())
-    x = np.minimum(np.floor(share + rng.random(available.size)).astype(np.int64), available)
-    while (d := size - x.sum()) != 0:
-        free = np.flatnonzero(available > x) if d > 0 else np.flatnonzero(x > 0)
-        x[rng.permutation(free)[: abs(d)]] += np.sign(d)
-    floor = np.minimum(floor, member @ available)
-    cost = lambda counts: np.abs(counts - goal[:, None]).sum(0) + 1e6 * np.maximum(0, floor[:, None] - counts).sum(0)
+    of = lambda x: np.array([x[(cats == c).any(0)].sum() for c in range(len(goal))], np.int64)
+    floor = np.minimum(floor, of(available))
+    x = _start(available, cats, floor, size, rng)
+    shared = []
+    for k in range(len(cats) + 1):
+        for fields in combinations(range(len(cats)), k):
+            groups = np.unique(cats[list(fields)], axis=1, return_inverse=True)[1].ravel() if fields else np.zeros(available.size, np.int64)
+            shared.append((list(fields), groups))
+    blocked = 1e9
     step = 1 << max(0, int(x.max()).bit_length() - 1)
     while step:
-        have = member @ x
-        now = cost(have[:, None])[0]
-        give, take = np.flatnonzero(x >= step), np.flatnonzero(available - x >= step)
-        if len(give) and len(take):
-            moved = have[:, None] - step * member[:, np.repeat(give, len(take))] + step * member[:, np.tile(take, len(give))]
-            after = cost(moved)
-            best = int(after.argmin())
-            if after[best] < now - 1e-9:
-                x[give[best // len(take)]] -= step
-                x[take[best % len(take)]] += step
-                continue
-        step >>= 1
+        have = of(x)
+        off = np.abs(have - goal)
+        less = np.append(np.abs(have - step - goal) - off + np.where(have - step < floor, blocked, 0.0), 0.0)  # last: no target
+        more = np.append(np.abs(have + step - goal) - off, 0.0)
+        give = np.where(x >= step, less[cats].sum(0), np.inf)
+        take = np.where(available - x >= step, more[cats].sum(0), np.inf)
+        best = (-1e-9, None, None)
+        for fields, groups in shared:
+            givers, takers = np.lexsort((give, groups)), np.lexsort((take, groups))
+            heads = np.flatnonzero(np.diff(groups[givers], prepend=-1))
+            g, t = givers[heads], takers[heads]
+            same = (less + more)[cats[fields][:, g]].sum(0) if fields else 0.0
+            with np.errstate(invalid="ignore"):
+                gain = np.nan_to_num(give[g] + take[t] - same, nan=np.inf)
+            at = int(gain.argmin())
+            if gain[at] < best[0]:
+                best = (gain[at], g[at], t[at])
+        if best[1] is not None and best[1] != best[2]:
+            x[best[1]] -= step
+            x[best[2]] += step
+        else:
+            step >>= 1
     return x
 
 
@@ -77,18 +110,17 @@ def plan(df: DataFrame, targets: list[Target], fraction: float, seed: int = 7):
         bases.append([-1, *(i for _, i in own)])
     counts = {r.code: r.n for r in df.groupBy(code.alias("code")).agg(F.count("*").alias("n")).collect()}
     codes = sorted(counts)
-    member = np.zeros((len(targets), len(codes)), np.int64)
+    cats = np.full((len(fields), len(codes)), -1)
     for s, c in enumerate(codes):
-        for base in reversed(bases):
-            c, k = divmod(c, len(base))
-            if base[k] >= 0:
-                member[base[k], s] = 1
+        for f in reversed(range(len(fields))):
+            c, k = divmod(c, len(bases[f]))
+            cats[f, s] = bases[f][k]
     available = np.array([counts[c] for c in codes], np.int64)
     total = int(available.sum())
     size = int(round(fraction * total))
     goal = np.array([t.share * size for t in targets])
-    x = repair(available, member, goal, np.array([t.min_rows for t in targets], np.int64), size, np.random.default_rng(seed))
-    have, drawn = (member @ available, member @ x) if len(codes) else (np.zeros(len(targets), int), np.zeros(len(targets), int))
+    x = repair(available, cats, goal, np.array([t.min_rows for t in targets], np.int64), size, np.random.default_rng(seed))
+    have, drawn = ([int(v[(cats == c).any(0)].sum()) for c in range(len(targets))] for v in (available, x))
     report = [(t.field, t.category, float(max(t.share * fraction * total, t.min_rows)), int(h), int(d), bool(h < max(t.share * fraction * total, t.min_rows))) for t, h, d in zip(targets, have, drawn)]
     return code, dict(zip(codes, (int(v) for v in x))), report
 

@@ -101,15 +101,26 @@ def test_sample_meets_targets_and_floors(spark):
     assert all(report[("meta.domain", c)].drawn == n for c, n in have.items())
 
 
-def test_repair_beats_its_start():
+def test_repair_beats_its_start_and_keeps_floors():
     rng = np.random.default_rng(2)
-    available = rng.integers(0, 500, 40)
-    member = (rng.random((6, 40)) < 0.3).astype(np.int64)
-    goal = rng.random(6) * 300
-    x = sampling.repair(available, member, goal, np.full(6, 3), 600, np.random.default_rng(0))
-    start = available * 600 / available.sum()
-    assert x.sum() == min(600, available.sum()) and (x <= available).all() and (x >= 0).all()
-    assert np.abs(member @ x - goal).sum() <= np.abs(member @ start - goal).sum()
+    for seed in range(12):
+        available = rng.integers(0, 60, 40) ** 2 // 20
+        cats = np.stack([rng.integers(-1, 5, 40), np.where(rng.random(40) < 0.1, -1, 5 + rng.integers(0, 4, 40))])
+        goal, floor = rng.random(9) * 300, rng.integers(0, 40, 9)
+        of = lambda x: np.array([x[(cats == c).any(0)].sum() for c in range(9)])  # noqa: B023, E731
+        x = sampling.repair(available, cats, goal, floor, 600, np.random.default_rng(seed))
+        start = sampling._start(available, cats, np.minimum(floor, of(available)), 600, np.random.default_rng(seed))
+        assert x.sum() == start.sum() >= min(600, available.sum()) and (x <= available).all() and (x >= 0).all()
+        assert (of(start) >= np.minimum(floor, of(available))).all() and (of(x) >= np.minimum(floor, of(available))).all()
+        assert np.abs(of(x) - goal).sum() <= np.abs(of(start) - goal).sum()
+        # no single exchange lowers the deviation
+        now = np.abs(of(x) - goal).sum()
+        for g in np.flatnonzero(x):
+            for t in np.flatnonzero(available > x):
+                y = x.copy()
+                y[g] -= 1
+                y[t] += 1
+                assert np.abs(of(y) - goal).sum() >= now - 1e-6 or (of(y) < np.minimum(floor, of(available))).any()
 
 
 def test_sample_of_nothing(spark):

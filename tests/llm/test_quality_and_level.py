@@ -59,7 +59,7 @@ def test_every_document_has_a_row(spark, tmp_path):
     got = {r.doc_id: r for r in rows}
     assert len(rows) == len(docs) and set(got) == {i for i, _ in docs}
     assert all(got[i].level is not None and got[i].score is not None and got[i].reason is None for i in (0, 1, 2))
-    why = {100: "not_english_prose", 101: "no_words", 102: "no_words", 103: "not_english_prose", 104: "no_words", 105: "only_numbers_and_letters"}
+    why = {100: "not_english_prose", 101: "no_words", 102: "no_words", 103: "not_english_prose", 104: "no_words", 105: "not_english_prose"}
     assert {i: (got[i].score, got[i].level, got[i].reason) for i in why} == {i: (None, None, r) for i, r in why.items()}
     without = readability.document_levels(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.createDataFrame([], "doc_id bigint, level int")).collect()
     assert {r.doc_id: (r.level, r.reason) for r in without} == {i: (None, why.get(i, "no_grades")) for i, _ in docs}
