@@ -34,6 +34,13 @@ def p2_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(corpus(spark, folder))
 
 
+def p2_figures(spark: SparkSession, folder: str) -> DataFrame:
+    """The figures the rules of running text are about, and the verdict."""
+    shares = ("mean_word_length", "common_word_share", "alphabetic_word_share", "marks_per_word", "bullet_line_share")
+    q = quality.quality(corpus(spark, folder))
+    return q.select("doc_id", "n_chars", "n_words", "n_lines", F.col("n_stop_words"), *[F.round(k, 6).alias(k) for k in shares], "is_prose")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.look_alike_pairs(records(spark, folder, "human", "ai", "reph"))
 
@@ -76,6 +83,13 @@ def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def p5_floors(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each target category: rows at hand, and whether the sample has the minimum or all there are."""
+    least = _table(spark, folder, "sample_targets").select("table_name", "field_name", "category", "min_rows")
+    report = p5_report(spark, folder).join(least, ["table_name", "field_name", "category"])
+    return report.select("table_name", "field_name", "category", "available", (F.col("drawn") >= F.least("available", "min_rows")).alias("floor_met"))
+
+
 def _sourced(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "demo_human").select("doc_id", "source").unionByName(_table(spark, folder, "demo_ai").select("doc_id", "source"))
 
@@ -96,6 +110,14 @@ def p6_report(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_report(p6_split(spark, folder), _table(spark, folder, "split_targets"))
 
 
+def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that were placed, and entities of named sources in more than one split (none)."""
+    parts = p6_split(spark, folder)
+    whole = parts.agg(F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_docs"))
+    several = parts.groupBy("entity").agg(F.count_distinct("split").alias("n")).agg(F.count_if(F.col("n") > 1).alias("n_torn"))
+    return whole.crossJoin(F.broadcast(several))
+
+
 def _sizes(spark: SparkSession, folder: str) -> DataFrame:
     from ..scratch import written
 
@@ -123,6 +145,17 @@ def p7_windows(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Per container: documents placed, windows that are too full, documents in several pieces that would fit into one."""
+    out = None
+    for name, capacity, packed in _packed(spark, folder):
+        full = packed.filter("shard is not null").groupBy("shard", "slot").agg(F.sum("size").alias("t")).agg(F.count_if(F.col("t") > capacity).alias("n_too_full"))
+        docs = packed.groupBy("id").agg(F.count("*").alias("pieces"), F.sum("size").alias("t")).agg(F.count("*").alias("n_docs"), F.count_if((F.col("pieces") > 1) & (F.col("t") <= capacity)).alias("n_cut"))
+        part = docs.crossJoin(F.broadcast(full)).select(F.lit(name).alias("container"), "n_docs", "n_too_full", "n_cut")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     out = None
     for name, capacity, packed in _packed(spark, folder):
@@ -148,6 +181,13 @@ def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     return _mix(spark, folder)[1]
 
 
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Per listed source: the most often any document may be used, and documents used more often (none)."""
+    targets = _table(spark, folder, "mix_targets").select("source", F.col("max_repeats").cast("bigint").alias("max_repeats"))
+    over = p8_mix(spark, folder).join(F.broadcast(targets), "source").groupBy("source").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("n_over"), (F.count("*") - F.count_distinct("doc_id")).alias("n_repeated"))
+    return targets.join(over, "source", "left").select("source", "max_repeats", F.coalesce("n_over", F.lit(0)).alias("n_over"), F.coalesce("n_repeated", F.lit(0)).alias("n_repeated"))
+
+
 def p9_levels(spark: SparkSession, folder: str) -> DataFrame:
     return readability.document_levels(_table(spark, folder, "documents"), _table(spark, folder, "level_labels"))
 
