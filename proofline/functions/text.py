@@ -103,10 +103,22 @@ def variation(average: Column, deviation: Column) -> Column:
 
 
 def mattr(tokens: Column, window: int = MATTR_WINDOW) -> Column:
-    """Mean share of distinct tokens over all windows; of the whole text if it is no longer than one window."""
+    """Mean share of distinct tokens over all windows; of the whole text if it is no longer than one window.
+
+    A token counts in those windows over its place that begin after its last occurrence before. Those occurrences are
+    neighbours once tokens are sorted by word and place, so a text is sorted once and no window is built."""
     n = F.size(tokens)
-    starts = F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))
-    distinct = F.aggregate(starts, F.lit(0).cast("bigint"), lambda a, i: a + F.size(F.array_distinct(F.slice(tokens, i, F.lit(window)))))
+    places = F.array_sort(F.transform(tokens, lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+
+    def windows(held: Column) -> Column:
+        def counted(x: Column, k: Column) -> Column:
+            before = F.get(held, k - 1)
+            last = F.when((k > 0) & (before["t"] == x["t"]), before["i"]).otherwise(F.lit(-1))
+            return F.greatest(F.lit(0), F.least(x["i"], n - window) - F.greatest(last, x["i"] - window))
+
+        return F.aggregate(F.transform(held, counted), F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+    distinct = F.element_at(F.transform(F.array(places), windows), 1)  # an array of one, so that the sort is done once
     short = F.size(F.array_distinct(tokens)) / n
     return F.when(n == 0, F.lit(0.0)).when(n <= window, short).otherwise(distinct / F.lit(float(window)) / (n - window + 1))
 

@@ -1,16 +1,19 @@
 """False positive control: conformal thresholds per language and length bucket.
 
 A threshold is an exact order statistic of human scores; infinity means "never flag". The order statistic is read from
-counts per distinct score, so neither sort nor collection of a language's scores happens in one task.
+counts per distinct score that are cumulated by buckets (``running``), so neither a sort nor a collection of a language's
+scores happens in one task.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .running import cumulated
+
 # --- fixed values ------------------------------------------------------------------------------------------
 FPR_CAP = 0.005
 BIN_EDGES = (50, 100, 250, 500)
@@ -36,12 +39,10 @@ def bin_index(n_words: Column, edges: Column) -> Column:
 
 def order_thresholds(scores: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     """(keys, n, threshold): the ceil((n + 1)(1 - alpha))-th smallest score of each group, infinity if there is none."""
-    counts = scores.groupBy(*keys, "score").agg(F.count("*").alias("c"))
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = F.sum("c").over(group.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    placed = counts.select(*keys, "score", upto.alias("upto"), F.sum("c").over(group).alias("n"))
-    k = F.ceil((F.col("n") + 1) * F.lit(1.0 - alpha))
-    return placed.groupBy(*keys).agg(F.max("n").alias("n"), F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("score"))), F.lit(INF)).alias("threshold"))
+    placed = cumulated(scores.groupBy(*keys, "score").agg(F.count("*").alias("c")), keys, "score", ["c"])
+    k = F.ceil((F.col("c_whole") + 1) * F.lit(1.0 - alpha))
+    reached = F.min(F.when(F.col("c_below") + F.col("c") >= k, F.col("score")))
+    return placed.groupBy(*keys).agg(F.max("c_whole").alias("n"), F.coalesce(reached, F.lit(INF)).alias("threshold"))
 
 
 def calibrate(human: DataFrame, alpha: float = FPR_CAP, edges: tuple[int, ...] = BIN_EDGES) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions import combine, detectors, features, normalize
 from ..functions import text as T
 from ..operators import attacks, conformal, evasion, metrics, spans, supervised, verdict
 from ..scratch import folder as scratch_folder
-from ..scratch import written
+from ..scratch import spread, written
 from ..sources import jsonl
 from . import engine
 
@@ -47,7 +47,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    """What the queries read of the documents; a small table is spread over the cores before texts are parsed."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "lang", "source", "label"))
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:

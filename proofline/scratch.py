@@ -50,3 +50,13 @@ def drop(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
         path.getFileSystem(conf).delete(path, True)
+
+
+ROW_GROUP = 128 << 20  # bytes
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files are smaller than one row group, which one task would read; the same rows.
+    Larger tables have splits enough and are not moved. For work that costs far more than moving the rows."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < ROW_GROUP else df
