@@ -61,23 +61,30 @@ def span_scores(df: DataFrame, score: Callable[[DataFrame, str], DataFrame], nam
 
     ``score`` adds ``<name>_score`` to a table of texts. A text without sentences has empty arrays."""
     base = with_windows(df.select(key, text), text)
-    windows = base.select(key, F.inline("windows"), "sents").withColumn("window_text", F.array_join(F.slice("sents", F.col("a") + 1, F.col("b") - F.col("a")), " ")).drop("sents")
+    texts = F.transform("windows", lambda w: F.struct(w["a"].alias("a"), w["b"].alias("b"), F.array_join(F.slice("sents", w["a"] + 1, w["b"] - w["a"]), " ").alias("window_text")))
+    windows = base.select(key, F.inline(texts))
     judged = score(T.parsed(windows, "window_text"), "window_text").select(key, "a", "b", F.col(f"{name}_score").alias("s"))
-    held = judged.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("a", "b", "s"))).alias("w"))
-    joined = base.select(key, "n_words_of").join(held, key, "left").withColumn("w", F.coalesce("w", F.array().cast("array<struct<a:int,b:int,s:double>>")))
-    covering = lambda i: F.filter("w", lambda w: (w["a"] <= i) & (i < w["b"]))
-    indexes = F.when(F.size("n_words_of") > 0, F.sequence(F.lit(0), F.size("n_words_of") - 1)).otherwise(F.array().cast("array<int>"))
-    each = F.transform(indexes, lambda i: F.transform(covering(i), lambda w: w["s"]))
-    return joined.withColumn("each", each).select(
+    per = covered(judged, key)
+    held = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "score", "n_windows"))).alias("w"))
+    none = F.array().cast("array<struct<idx:int,score:double,n_windows:bigint>>")
+    joined = base.select(key, "n_words_of", F.size("windows").alias("n_windows")).join(held, key, "left").withColumn("w", F.coalesce("w", none))
+    return joined.select(
         key,
         "n_words_of",
-        F.transform("each", lambda e: F.when(F.size(e) > 0, T.mean(e)).otherwise(F.lit(0.5))).alias("scores"),
-        F.transform("each", lambda e: F.size(e)).alias("n_covering"),
-        F.size("w").alias("n_windows"),
+        F.transform("w", lambda w: F.coalesce(w["score"], F.lit(0.5))).alias("scores"),
+        F.transform("w", lambda w: w["n_windows"].cast("int")).alias("n_covering"),
+        "n_windows",
         F.aggregate("n_words_of", F.lit(0), lambda a, v: a + v).alias("total_words"),
     )
 
 
+def covered(windows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, idx, score, n_windows) for each sentence of windows (key, a, b, s): the mean score of those that cover it.
+    Every sentence is in a window, as a window begins no later than the one before ends."""
+    each = windows.select(key, F.explode(F.sequence(F.col("a").cast("int"), F.col("b").cast("int") - 1)).alias("idx"), "s")
+    return each.groupBy(key, "idx").agg(F.avg("s").alias("score"), F.count("*").alias("n_windows"))
+
+
 def reliable(n_windows: Column, total_words: Column, window: int = WINDOW_WORDS) -> Column:
     return (n_windows >= MIN_WINDOWS) & (total_words >= 2 * window)
 

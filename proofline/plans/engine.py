@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import combine, detectors, features, normalize
-from ..functions import text as T
 from ..operators import conformal, spans, supervised, verdict
 from ..operators.supervised import LogisticModel
 from ..scratch import written
@@ -87,7 +86,3 @@ def analyze(df: DataFrame, calibrations: DataFrame, key: str = "doc_id", text: s
         key, "language", "n_words", "score", "primary", *[f"{n}_score" for n in CORROBORATORS], "ood_gap", "is_ood", "is_suspicious", "ai_word_fraction", "change_point",
         "verdict", "verdict_score", "abstain_reasons", "threshold", "alpha", "explanation",
     )
-
-
-def text_words(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("n_words", T.n_words(F.col(text)))

@@ -3,6 +3,7 @@ for an engine without look-around. Queries that plain SQL can't state have none
 
 from __future__ import annotations
 
+from ..functions.features import NAMES as FEATURE_NAMES
 from ..functions.lexicon import LEXICON
 from ..functions.normalize import CONFUSABLES, INVISIBLE, ODD_SPACES
 
@@ -186,11 +187,32 @@ hg AS ({order_stat("language", "hc", 0.05)}), hb AS ({order_stat("language, bin"
 JOINED = "j AS (SELECT h.*, c.language IS NOT NULL AS calibrated, c.alpha, c.global_threshold, c.bin_edges, c.bin_thresholds FROM human_calib h LEFT JOIN calibration c ON c.language = h.language)"
 
 # pairs
-PAIRED = f"""d AS (SELECT pair_id, 0 AS k, original AS text FROM demo_evasion_pairs WHERE original IS NOT NULL UNION ALL SELECT pair_id, 1, rephrased FROM demo_evasion_pairs WHERE rephrased IS NOT NULL), {TEXTS}, {STYLE},
-pr AS (SELECT pair_id, max(stylometry_score) FILTER (k = 0) AS score_original, max(stylometry_score) FILTER (k = 1) AS score_rephrased FROM st GROUP BY pair_id)"""
+PAIRED = f"""d AS (SELECT pair_id, 0 AS k, original AS text FROM demo_evasion_pairs WHERE original IS NOT NULL UNION ALL SELECT pair_id, 1, rephrased FROM demo_evasion_pairs WHERE rephrased IS NOT NULL), {TEXTS}, {BOTH},
+ea AS (SELECT pair_id, k, unnest([{{'detector': 'stylometry', 'score': stylometry_score}}, {{'detector': 'phrases', 'score': phrases_score}}, {{'detector': 'ensemble', 'score': (stylometry_score + phrases_score) / 2}}]) AS x FROM ph),
+pr AS (SELECT pair_id, x.detector AS detector, max(x.score) FILTER (k = 0) AS score_original, max(x.score) FILTER (k = 1) AS score_rephrased FROM ea GROUP BY 1, 2)"""
 
 STAND_IN = f"si AS (SELECT doc_id, list_transform(sents, lambda s: {n_words('s')}) AS nw, list_transform(sents, lambda s: least(1.0::DOUBLE, {n_words('s')} / 37.0::DOUBLE)) AS sc FROM se)"
 
+AI_SHARE = "coalesce(list_sum(list_transform(range(1, len(sc) + 1), lambda i: CASE WHEN sc[i] >= 0.5 THEN nw[i] ELSE 0 END)) / nullif(list_sum(nw), 0)::DOUBLE, 0)"
+
+# windows of sentences: each is the shortest of 120 words from its start, the next one starts 60 words later
+_FROM_ON = "list_min(list_filter(range({0}, n + 1), lambda e: up[e + 1] - up[{0} + 1] >= {1}))"
+_END = "coalesce(" + _FROM_ON.format("{0}", 120) + ", n)"
+_NEXT = "greatest(least(coalesce(" + _FROM_ON.format("w.a", 60) + ", n - 1), n - 1), w.a + 1)"
+WINDOWS = f"""{STAND_IN}, sn AS (SELECT doc_id, nw, len(nw) AS n, list_transform(range(0, len(nw) + 1), lambda i: coalesce(list_sum(nw[1:i]), 0)) AS up FROM si WHERE len(nw) > 0),
+w AS (SELECT doc_id, 0::BIGINT AS pos, 0::BIGINT AS a, CAST({_END.format("0")} AS BIGINT) AS b FROM sn
+    UNION ALL SELECT doc_id, pos + 1, nx, CAST({_END.format("nx")} AS BIGINT) FROM (SELECT w.doc_id, w.pos, sn.n, sn.up, CAST({_NEXT} AS BIGINT) AS nx FROM w JOIN sn USING (doc_id) WHERE w.b < sn.n))"""
+SPANNED = f"WITH RECURSIVE {DOCS}, {TEXTS}, {WINDOWS}"
+
+# hits per phrase
+HITS = "list_filter([" + ", ".join(f"{{{{'phrase': {quoted(p)}, 'n': h{k}, 'weight': {LEXICON[p]}::DOUBLE}}}}" for k, p in enumerate(sorted(LEXICON, key=len, reverse=True))) + "], lambda h: h.n > 0)"
+
+
+def hits_cte(source: str) -> str:
+    """(source's columns, held: list of phrase, n, weight)."""
+    counted = ", ".join(f"{h} AS h{k}" for k, h in enumerate(lexicon_chain()[1].split(" + ")))
+    return f"{lexicon_cte(source)}, hi AS (SELECT *, {HITS.replace('{{', '{').replace('}}', '}')} AS held FROM (SELECT *, {counted} FROM lx))"
+
 
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
@@ -248,8 +270,8 @@ def oracle_sql() -> dict[str, str]:
     q["blend"] = wide + f"{r6(f'CASE WHEN supervised IS NULL THEN {pair} ELSE 0.6::DOUBLE * supervised + 0.4::DOUBLE * ({pair}) END')} AS blended, supervised IS NOT NULL AS primary_usable FROM w"
     gap = "CASE WHEN supervised IS NULL THEN 0.0::DOUBLE ELSE abs(supervised - (coalesce(phrases, 0.5::DOUBLE) + coalesce(stylometry, 0.5::DOUBLE)) / 2) END"
     q["ood_flag"] = wide + f"{r6(gap)} AS gap, {gap} >= 0.45::DOUBLE AS is_ood FROM w"
-    q["provenance_combine"] = f"""WITH {SCORED}, sg AS (SELECT doc_id, {STATUS} AS status FROM documents) SELECT u.doc_id, status, {r6("CASE status WHEN 'verified_ai' THEN greatest(score, 0.99::DOUBLE) WHEN 'invalid' THEN greatest(score, least(1.0::DOUBLE, score + 0.10::DOUBLE)) ELSE score END")} AS combined
-        FROM u LEFT JOIN sg USING (doc_id) WHERE detector = 'stylometry' AND run_no = 1"""
+    q["provenance_combine"] = f"""WITH {SCORED}, sg AS (SELECT doc_id, {STATUS} AS status FROM documents) SELECT u.doc_id, detector, CAST(run_no AS BIGINT) AS run_no, status, {r6("CASE status WHEN 'verified_ai' THEN greatest(score, 0.99::DOUBLE) WHEN 'invalid' THEN greatest(score, least(1.0::DOUBLE, score + 0.10::DOUBLE)) ELSE score END")} AS combined
+        FROM u LEFT JOIN sg USING (doc_id)"""
     q["provenance_flags"] = f"SELECT doc_id, coalesce({STATUS} = 'verified_ai', false) AS is_ai_evidence, coalesce({STATUS} IN ('verified_ai', 'invalid'), false) AS is_informative FROM documents"
 
     q["filter_label"] = f"WITH {SCORED} SELECT detector, domain, count(*) AS n FROM u WHERE label = 0 GROUP BY 1, 2"
@@ -292,11 +314,11 @@ def oracle_sql() -> dict[str, str]:
     q["empirical_fpr"] = f"WITH {JOINED}, f AS (SELECT language, coalesce(score >= {THRESHOLD}, false) AS flagged FROM j WHERE calibrated AND score IS NOT NULL) SELECT language, count(*) AS n, count(*) FILTER (flagged) AS n_flagged, {r6('avg(CASE WHEN flagged THEN 1.0::DOUBLE ELSE 0 END)')} AS fpr FROM f GROUP BY 1"
     q["upsert_calibration"] = f"SELECT language, {r6('alpha')} AS alpha, n_calibration FROM calibration WHERE language <> 'en' UNION ALL SELECT 'en', 0.05, count(*) FROM human_calib WHERE language = 'en' AND score IS NOT NULL"
 
-    q["join_pairs"] = f"WITH {PAIRED} SELECT pair_id, {r6('score_original')} AS score_original, {r6('score_rephrased')} AS score_rephrased FROM pr"
-    q["evasion_report"] = f"""WITH {PAIRED}, p AS (SELECT * FROM pr WHERE score_original IS NOT NULL AND score_rephrased IS NOT NULL), g AS (SELECT count(*) AS n_pairs, avg(score_original) AS a, avg(score_rephrased) AS b, avg(score_original - score_rephrased) AS c,
-        count(*) FILTER (score_original >= 0.5) AS flagged, count(*) FILTER (score_original >= 0.5 AND score_rephrased < 0.5) AS evaded FROM p)
-        SELECT n_pairs, {r6('a')} AS mean_original, {r6('b')} AS mean_rephrased, {r6('c')} AS mean_delta, flagged, evaded, {r6('evaded / nullif(flagged, 0)::DOUBLE')} AS evasion_rate FROM g"""
-    q["compare_pair"] = f"WITH {PAIRED} SELECT pair_id, {r6('score_original - score_rephrased')} AS delta, CASE WHEN score_original >= 0.5 AND score_rephrased < 0.5 THEN 'evaded' WHEN score_rephrased >= 0.5 THEN 'still flagged' ELSE 'never flagged' END AS outcome FROM pr"
+    q["join_pairs"] = f"WITH {PAIRED} SELECT pair_id, detector, {r6('score_original')} AS score_original, {r6('score_rephrased')} AS score_rephrased FROM pr"
+    q["evasion_report"] = f"""WITH {PAIRED}, p AS (SELECT * FROM pr WHERE score_original IS NOT NULL AND score_rephrased IS NOT NULL), g AS (SELECT detector, count(*) AS n_pairs, avg(score_original) AS a, avg(score_rephrased) AS b, avg(score_original - score_rephrased) AS c,
+        count(*) FILTER (score_original >= 0.5) AS flagged, count(*) FILTER (score_original >= 0.5 AND score_rephrased < 0.5) AS evaded FROM p GROUP BY detector)
+        SELECT detector, n_pairs, {r6('a')} AS mean_original, {r6('b')} AS mean_rephrased, {r6('c')} AS mean_delta, flagged, evaded, {r6('evaded / nullif(flagged, 0)::DOUBLE')} AS evasion_rate FROM g"""
+    q["compare_pair"] = f"WITH {PAIRED} SELECT pair_id, detector, {r6('score_original - score_rephrased')} AS delta, CASE WHEN score_original >= 0.5 AND score_rephrased < 0.5 THEN 'evaded' WHEN score_rephrased >= 0.5 THEN 'still flagged' ELSE 'never flagged' END AS outcome FROM pr"
 
     q["change_point"] = texts(
         f"""SELECT si.doc_id, cut, {r6('delta')} AS delta, abs(delta) >= 0.25::DOUBLE AS is_significant FROM si LEFT JOIN best ON best.doc_id = si.doc_id AND rn = 1""", DOCS,
@@ -304,13 +326,30 @@ def oracle_sql() -> dict[str, str]:
         halves AS (SELECT doc_id, cut, len(sc) AS n, list_sum(sc[1:cut]) / cut AS b, list_sum(sc[cut + 1:]) / (len(sc) - cut) AS a FROM cuts),
         best AS (SELECT doc_id, cut, a - b AS delta, row_number() OVER (PARTITION BY doc_id ORDER BY round(abs(a - b) * sqrt(cut * (n - cut) / n::DOUBLE), 12) DESC, cut) AS rn FROM halves)""",
     )
-    q["ai_word_fraction"] = texts(f"SELECT doc_id, {r6('''coalesce(list_sum(list_transform(range(1, len(sc) + 1), lambda i: CASE WHEN sc[i] >= 0.5 THEN nw[i] ELSE 0 END)) / nullif(list_sum(nw), 0)::DOUBLE, 0)''')} AS fraction FROM si", DOCS, STAND_IN)
+    q["ai_word_fraction"] = texts(f"SELECT doc_id, {r6(AI_SHARE)} AS fraction FROM si", DOCS, STAND_IN)
 
     reasons = f"""list_filter([CASE WHEN n_words < 100 THEN 'text_too_short' END, CASE WHEN {SUSPICIOUS} THEN 'unicode_tampering_detected' END, CASE WHEN NOT calibrated THEN 'no_calibration_for_language' END,
         CASE WHEN calibrated AND NOT coalesce(isfinite(global_threshold), false) THEN 'calibration_too_small_for_fpr_cap' END], lambda r: r IS NOT NULL)"""
     q["decide"] = texts(
-        f"""SELECT doc_id, CASE WHEN status = 'verified_ai' THEN 'ai' WHEN len(why) > 0 THEN 'abstain' WHEN stylometry_score >= {THRESHOLD} THEN 'ai' ELSE 'human' END AS verdict,
+        f"""SELECT doc_id, CASE WHEN status = 'verified_ai' THEN 'ai' WHEN len(why) > 0 THEN 'abstain' WHEN share BETWEEN 0.15::DOUBLE AND 0.85::DOUBLE THEN 'mixed' WHEN stylometry_score >= {THRESHOLD} THEN 'ai' ELSE 'human' END AS verdict,
         {r6("CASE WHEN status = 'verified_ai' THEN greatest(stylometry_score, 0.99::DOUBLE) ELSE stylometry_score END")} AS verdict_score, CASE WHEN status = 'verified_ai' THEN '' ELSE coalesce(array_to_string(why, ','), '') END AS reasons FROM wy""", DOCS,
-        f"""{STYLE}, cj AS (SELECT st.*, {STATUS} AS status, c.language IS NOT NULL AS calibrated, c.global_threshold, c.bin_edges, c.bin_thresholds FROM st LEFT JOIN calibration c ON c.language = st.lang), wy AS (SELECT *, {reasons} AS why FROM cj)""",
+        f"""{STYLE}, {STAND_IN}, cj AS (SELECT st.*, CASE WHEN n_words >= 240 THEN ({AI_SHARE}) END AS share, {STATUS} AS status, c.language IS NOT NULL AS calibrated, c.global_threshold, c.bin_edges, c.bin_thresholds FROM st JOIN si USING (doc_id) LEFT JOIN calibration c ON c.language = st.lang), wy AS (SELECT *, {reasons} AS why FROM cj)""",
     )
+    q["src_text"] = "SELECT 6::BIGINT AS n_words, 2::BIGINT AS n_sentences"
+    q["det_registry"] = "SELECT * FROM (VALUES ('binoculars', false), ('perplexity', false), ('phrases', true), ('stylometry', true)) AS v(name, available)"
+    vowels = "length(regexp_replace(lower(text), '[^aeiou]', '', 'g')) / nullif(length(text), 0)::DOUBLE"
+    q["det_transformer"] = f"SELECT doc_id, {r6(f'coalesce({vowels}, 0.5)')} AS vowel_score, coalesce(length(text), 0) > 0 AND coalesce({n_words('text')}, 0) >= 50 AS vowel_reliable FROM documents"
+    q["topk_lexicon"] = f"WITH {DOCS}, {hits_cte('d')}, u AS (SELECT unnest(held) AS h FROM hi) SELECT h.phrase AS phrase, CAST(sum(h.n) AS BIGINT) AS n, {r6('sum(h.n * h.weight)')} AS weight FROM u GROUP BY 1 ORDER BY sum(h.n * h.weight) DESC, 1 LIMIT 12"
+    q["det_phrases_details"] = f"""WITH {DOCS}, {hits_cte('d')}, u AS (SELECT doc_id, unnest(held) AS h FROM hi), o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY -h.n * h.weight, h.phrase) AS place, h.phrase AS phrase, CAST(h.n AS BIGINT) AS n FROM u)
+        SELECT * FROM o WHERE place <= 12"""
+    q["streaming_scores"] = texts(f"SELECT lang, count(*) AS n, {r6(f'avg({two})')} AS mean_score FROM ph GROUP BY 1", DOCS, BOTH)
+    q["span_windows"] = f"{SPANNED} SELECT doc_id, pos AS \"at\", a, b FROM w"
+    q["join_span_windows"] = f"{SPANNED}, c AS (SELECT doc_id, unnest(range(a, b)) AS idx FROM w) SELECT doc_id, idx, count(*) AS n_windows FROM c GROUP BY 1, 2"
+    q["span_scores"] = f"""{SPANNED}, ws AS (SELECT w.doc_id * 100000 + w.pos AS wid, array_to_string(se.sents[a + 1:b], ' ') AS text FROM w JOIN se USING (doc_id)),
+        js AS (SELECT wid, stylometry_score AS s FROM (WITH d AS (SELECT * FROM ws), {TEXTS}, {STYLE} SELECT * FROM st)),
+        c AS (SELECT doc_id, wid, unnest(range(a, b)) AS idx FROM (SELECT *, doc_id * 100000 + pos AS wid FROM w)), pe AS (SELECT doc_id, idx, avg(s) AS s FROM c JOIN js USING (wid) GROUP BY 1, 2),
+        sl AS (SELECT doc_id, list(s ORDER BY idx) AS sc FROM pe GROUP BY 1), nwn AS (SELECT doc_id, count(*) AS n_windows FROM w GROUP BY 1),
+        al AS (SELECT si.doc_id, nw, coalesce(sl.sc, []) AS sc, coalesce(n_windows, 0) AS n_windows, CAST(coalesce(list_sum(nw), 0) AS BIGINT) AS total_words FROM si LEFT JOIN sl USING (doc_id) LEFT JOIN nwn USING (doc_id))
+        SELECT doc_id, n_windows, total_words, n_windows >= 3 AND total_words >= 240 AS reliable, {r6(AI_SHARE)} AS fraction, {r6("coalesce(list_avg(sc), 0)")} AS mean_score FROM al"""
+    q["standardizer"] = f"WITH fv AS ({q['feature_vector']}), u AS (UNPIVOT (SELECT {', '.join(FEATURE_NAMES)} FROM fv WHERE n_words > 0) ON COLUMNS(*) INTO NAME feature VALUE v) SELECT feature, {r6('avg(v)')} AS mean, {r6('CASE WHEN stddev_samp(v) > 1e-9 THEN stddev_samp(v) ELSE 1 END')} AS sd FROM u GROUP BY 1"
     return q

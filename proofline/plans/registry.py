@@ -336,9 +336,9 @@ def _signals(spark, folder) -> DataFrame:
 
 @query
 def provenance_combine(spark, folder):
-    s = scored(spark, folder).filter("detector = 'stylometry' and run_no = 1").select("doc_id", "score")
-    j = s.join(_signals(spark, folder), "doc_id", "left")
-    return j.select("doc_id", "status", combine.with_provenance(F.col("score"), F.col("status")).alias("combined"))
+    """Every usable score of every detector and run with its document's provenance."""
+    j = scored(spark, folder).join(_signals(spark, folder), "doc_id", "left")
+    return j.select("doc_id", "detector", "run_no", "status", combine.with_provenance(F.col("score"), F.col("status")).alias("combined"))
 
 
 @query
@@ -548,11 +548,14 @@ def upsert_calibration(spark, folder):
 
 
 def _pair_scores(spark, folder) -> DataFrame:
-    """Both texts of each pair, scored by stylometry in one pass over one column of texts."""
-    pairs = table(spark, folder, "demo_evasion_pairs")
-    both = pairs.select("pair_id", "meta", F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("original").alias("text")), F.struct(F.lit(1).alias("k"), F.col("rephrased").alias("text")))).alias("x")).select("pair_id", "meta", "x.k", "x.text")
-    s = detectors.stylometry(T.parsed(both.filter("text is not null")))
-    return s.groupBy("pair_id").agg(F.max(F.when(F.col("k") == 0, F.col("stylometry_score"))).alias("score_original"), F.max(F.when(F.col("k") == 1, F.col("stylometry_score"))).alias("score_rephrased"))
+    """Both texts of each pair, scored by every native detector and the ensemble in one pass over one column of texts:
+    a row per pair and detector."""
+    pairs = spread(table(spark, folder, "demo_evasion_pairs").select("pair_id", "original", "rephrased"))
+    both = pairs.select("pair_id", F.inline(F.array(F.struct(F.lit(0).alias("k"), F.col("original").alias("text")), F.struct(F.lit(1).alias("k"), F.col("rephrased").alias("text")))))
+    s = detectors.scored(both.filter("text is not null"))
+    s = s.withColumn("ensemble_score", combine.weighted_mean({n: F.col(f"{n}_score") for n in ("stylometry", "phrases")}))
+    each = s.select("pair_id", "k", F.inline(F.array(*[F.struct(F.lit(n).alias("detector"), F.col(f"{n}_score").alias("score")) for n in ("stylometry", "phrases", "ensemble")])))
+    return each.groupBy("pair_id", "detector").agg(F.max(F.when(F.col("k") == 0, F.col("score"))).alias("score_original"), F.max(F.when(F.col("k") == 1, F.col("score"))).alias("score_rephrased"))
 
 
 @query
@@ -562,13 +565,13 @@ def join_pairs(spark, folder):
 
 @query
 def evasion_report(spark, folder):
-    return evasion.evasion_report(_pair_scores(spark, folder), by=None)
+    return evasion.evasion_report(_pair_scores(spark, folder))
 
 
 @query
 def compare_pair(spark, folder):
     p = _pair_scores(spark, folder)
-    return p.select("pair_id", (F.col("score_original") - F.col("score_rephrased")).alias("delta"), evasion.outcome(F.col("score_original"), F.col("score_rephrased")).alias("outcome"))
+    return p.select("pair_id", "detector", (F.col("score_original") - F.col("score_rephrased")).alias("delta"), evasion.outcome(F.col("score_original"), F.col("score_rephrased")).alias("outcome"))
 
 
 def _attacked(spark, folder) -> DataFrame:
@@ -621,8 +624,8 @@ def span_windows(spark, folder):
 @query
 def join_span_windows(spark, folder):
     """How many windows cover each sentence."""
-    w = span_windows(spark, folder)
-    return w.select("doc_id", F.explode(F.expr("sequence(a, b - 1)")).alias("idx")).groupBy("doc_id", "idx").agg(F.count("*").alias("n_windows"))
+    w = span_windows(spark, folder).withColumn("s", F.lit(0.0))
+    return spans.covered(w).select("doc_id", "idx", "n_windows")
 
 
 @query
@@ -681,12 +684,14 @@ def ens_logistic(spark, folder):
 
 @query
 def decide(spark, folder):
-    """Verdicts from stylometry, with provenance by source and calibration by language."""
+    """Verdicts from stylometry, with provenance by source, calibration by language, and the share of AI-like words by
+    stand-in sentence scores in texts that are long enough for spans."""
     d = docs(spark, folder).filter("text is not null").select("doc_id", F.col("lang").alias("language"), "text").join(_signals(spark, folder), "doc_id", "left")
-    s = detectors.stylometry(T.parsed(d)).withColumn("suspicious", normalize.counts(F.col("text"))["is_suspicious"])
-    s = s.select("doc_id", "language", "status", "n_words", "suspicious", F.col("stylometry_score").alias("score"))
+    s = _stand_in(detectors.stylometry(T.parsed(d))).withColumn("suspicious", normalize.counts(F.col("text"))["is_suspicious"])
+    share = F.when(F.col("n_words") >= 2 * spans.WINDOW_WORDS, spans.ai_word_fraction(F.col("scores"), F.col("n_words_of")))
+    s = s.select("doc_id", "language", "status", "n_words", "suspicious", F.col("stylometry_score").alias("score"), share.alias("share"))
     j = conformal.flagged(conformal.with_calibration(s, table(spark, folder, "calibration")))
-    out = verdict.decide(F.col("score"), F.col("n_words"), F.col("suspicious"), F.col("calibrated"), F.col("global_threshold"), F.col("threshold"), F.lit(None).cast("double"), F.col("status"))
+    out = verdict.decide(F.col("score"), F.col("n_words"), F.col("suspicious"), F.col("calibrated"), F.col("global_threshold"), F.col("threshold"), F.col("share"), F.col("status"))
     return j.select("doc_id", out["label_out"].alias("verdict"), out["verdict_score"].alias("verdict_score"), F.array_join(out["abstain_reasons"], ",").alias("reasons"))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-SPAN_ROWS, MARKER_ROWS = 14, 8
+SPAN_ROWS = 14
 
 
 def cell(value) -> str:

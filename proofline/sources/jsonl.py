@@ -1,8 +1,8 @@
 """Line-based JSON sources, strict or fast, and the JSON form of calibrations.
 
-Strict reading keeps line numbers, so that an error names ``path:line``: files are read whole, one row per file, and cut
-into lines. It is meant for files of a corpus's labels, not for single files larger than a task's memory; ``strict=False``
-reads any size with Spark's own reader and a schema, and drops the reasons.
+Strict reading keeps line numbers, so that an error names ``path:line``. Files of any size are read in splits: lines are
+numbered within their split, and the lines of a file's earlier splits, counted in one pass, are added. ``strict=False``
+reads with Spark's own reader and a schema, and drops the reasons.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import json
 import math
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LABELED = "text string, label bigint, source string, meta string"
@@ -20,9 +20,14 @@ PAIRS = "original string, rephrased string, meta string"
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, line) of all lines with something on them."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split("value", "\r?\n").alias("lines"))
-    cut = whole.select("path", F.posexplode("lines").alias("at", "raw"))
-    return cut.select("path", (F.col("at") + 1).alias("line_no"), F.trim(F.regexp_replace("raw", r"(?U)^\s+|\s+$", "")).alias("line")).filter("line <> ''")
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    raw = raw.withColumn("at", F.monotonically_increasing_id())
+    # one row per split; rows of a split are consecutive
+    splits = raw.groupBy("path", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    splits = splits.select("path", "start", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    lines = raw.join(splits, ["path", "start"]).select("path", (F.col("at") - F.col("first") + F.col("before") + 1).alias("line_no"), F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("line"))
+    return lines.filter("line <> ''")
 
 
 def _text_of(value: Column, key: str) -> Column:
@@ -45,9 +50,9 @@ def check_labeled(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, text, label, source, meta, error) for each line; ``error`` is null where the line is right. A
     label must be a JSON integer that is 0 or 1; true, 0.7, 1.0 and "1" are none."""
     df = _with_errors(_lines(spark, path), ["text", "label"])
-    kind = F.schema_of_variant(F.expr("try_variant_get(v, '$.label', 'variant')"))
-    raw = F.regexp_extract("line", r'"label"\s*:\s*([^,}\s]+)', 1)
-    whole = (kind == "BIGINT") & raw.rlike(r"^-?\d+$")
+    value = F.expr("try_variant_get(v, '$.label', 'variant')")
+    raw = F.to_json(value)
+    whole = F.schema_of_variant(value) == "BIGINT"
     label = F.try_variant_get("v", "$.label", "bigint")
     error = F.when(F.col("error").isNotNull(), F.col("error")).when(~whole, F.concat(F.lit("label must be the integer 0 or 1, got "), raw)).when(~label.isin(0, 1), F.lit("label must be 0 or 1"))
     meta = F.try_variant_get("v", "$.meta", "string")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from pathlib import PurePath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +33,7 @@ def flag_rate(flagged_stream: DataFrame, time: str = "collected_at", width: str
 def score_stream_once(spark: SparkSession, path: str) -> DataFrame:
     """Reads a folder's (or one file's) documents as a stream, scores what is there, and returns the written result."""
     schema = spark.read.parquet(path).select("doc_id", "text", "lang").schema
-    at = PurePath(path)
-    glob = f"{at.parent}/{at.name}*"
+    glob = path.rstrip("/") + "*"
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(glob)
     out = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
     run = scored(stream).drop("text").writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
