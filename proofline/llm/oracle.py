@@ -31,6 +31,7 @@ def _formed(source: str, columns: str) -> str:
 
 P3_FOUND = f"""WITH {_formed(_LOOKED_AT, "rec, text, sha256(visual) AS form")}
 SELECT least(a.rec, b.rec) AS rec_a, greatest(a.rec, b.rec) AS rec_b FROM f a JOIN f b ON a.form = b.form AND a.rec < b.rec AND a.text <> b.text"""
+P3_CLASSES = f"WITH {_formed(_LOOKED_AT, 'rec, sha256(visual) AS form, sha256(text) AS raw')} SELECT * FROM f WHERE form IS NOT NULL"
 P3_CANONICAL = f"WITH {_formed(_LOOKED_AT, 'rec, visual AS canonical')} SELECT * FROM f"
 _GROUPED = f"WITH {_formed(_CORPUS, 'doc_id, text, key')}, g AS (SELECT doc_id, text, min(doc_id) OVER (PARTITION BY key) AS first_id FROM f WHERE key IS NOT NULL)"
 P4_FOUND = f"{_GROUPED} SELECT first_id, doc_id FROM g WHERE first_id <> doc_id"
@@ -81,6 +82,6 @@ P8_KEPT = "SELECT source, CAST(max_repeats AS BIGINT) AS max_repeats, 0::BIGINT
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": P2_FOUND, "p2_figures": P2_FIGURES, "p3_found": P3_FOUND, "p3_canonical": P3_CANONICAL, "p4_found": P4_FOUND, "p4_representatives": P4_REPRESENTATIVES,
+        "p2_found": P2_FOUND, "p2_figures": P2_FIGURES, "p3_found": P3_FOUND, "p3_canonical": P3_CANONICAL, "p3_classes": P3_CLASSES, "p4_found": P4_FOUND, "p4_representatives": P4_REPRESENTATIVES,
         "p5_found": P5_FOUND, "p5_floors": P5_FLOORS, "p6_kept": P6_KEPT, "p7_kept": P7_KEPT, "p8_kept": P8_KEPT,
     }

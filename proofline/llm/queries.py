@@ -45,6 +45,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalikes.look_alike_pairs(records(spark, folder, "human", "ai", "reph"))
 
 
+def p3_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of equal-looking records each record is in, without pairs."""
+    return lookalikes.look_alike_classes(records(spark, folder, "human", "ai", "reph"))
+
+
 def p3_canonical(spark: SparkSession, folder: str) -> DataFrame:
     return canonical_text(records(spark, folder, "human", "ai", "reph"), "text", "canonical", ["rec"])
 
