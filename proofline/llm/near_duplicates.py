@@ -41,7 +41,7 @@ from .components import components
 
 COUNTERS = 1 << 20  # of the rarity table: its size is fixed, whatever the data
 RADIUS = 0.4  # of a region, as a part of delta: below one half, so that all members of a region are linked
-LEAF, HELD, MET = 32, 512, 64  # members of an undivided region; documents divided at once; pivots a document is held against
+LEAF, HELD, MET = 32, 512, 24  # members of an undivided region; documents divided at once; pivots a document is held against
 SLACK = 1e-9
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -163,13 +163,13 @@ def word_texts(records: DataFrame, text: str, rec: str, width: int) -> DataFrame
     return records.select(F.col(f"`{rec}`").alias("rec"), F.col(f"`{text}`").alias("text")).mapInArrow(shaped, "rec string, words string, key string, low bigint, n int, loose string")
 
 
-def distance(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard distance of two sorted sets."""
-    common = len(np.intersect1d(x, y, assume_unique=True))
+def distance(x: frozenset[int], y: frozenset[int]) -> float:
+    """Jaccard distance of two sets."""
+    common = len(x & y)
     return 1.0 - common / (len(x) + len(y) - common)
 
 
-def divide(sets: list[np.ndarray], radius: float) -> list[tuple[int, float]]:
+def divide(sets: list[frozenset[int]], radius: float) -> list[tuple[int, float]]:
     """(index of the pivot, distance from it) for each set: no set is farther than ``radius`` from its pivot, and each
     belongs to the nearest pivot among those it was held against. Regions above ``LEAF`` members are divided again."""
     pivots: list[int] = []
@@ -209,7 +209,7 @@ def voronoi(texts: DataFrame, width: int, bound: Bound) -> DataFrame:
 
         def close() -> None:
             nonlocal at
-            home = divide([np.unique(s) for _, _, s in group], radius) if len(group) > 1 else [(0, 0.0)] * len(group)
+            home = divide([frozenset(s.tolist()) for _, _, s in group], radius) if len(group) > 1 else [(0, 0.0)] * len(group)
             widest: dict[int, float] = {}
             for p, d in home:
                 widest[p] = max(widest.get(p, 0.0), d)

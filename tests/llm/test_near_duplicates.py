@@ -5,7 +5,6 @@ from collections import Counter
 from fractions import Fraction
 from itertools import combinations
 
-import numpy as np
 import pytest
 
 from proofline.llm import canon, near_duplicates
@@ -107,7 +106,7 @@ def test_regions():
         s = set(rng.choice(base))
         for _ in range(rng.randint(0, 12)):
             s.discard(rng.choice(sorted(s)))
-        sets.append(np.array(sorted(s)))
+        sets.append(frozenset(s))
     home = near_duplicates.divide(sets, 0.2)
     sizes = Counter(p for p, _ in home)
     assert all(near_duplicates.distance(sets[i], sets[p]) == pytest.approx(d) and d <= 0.2 for i, (p, d) in enumerate(home))
