@@ -69,9 +69,12 @@ def _held(words: str, own) -> Column:
 
 def statistics(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` and the figures of each text. Other columns of ``df`` are not read."""
-    base = df.select(*[F.col(f"`{k}`") for k in keep], plain(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
+    names = [F.col(f"`{k}`") for k in keep]
+    base = df.select(*names, plain(F.coalesce(F.col(text), F.lit(""))).alias("__t"))
     words = F.filter(F.split(F.lower("__t"), _NOT_WORD), lambda w: w != "")
-    base = base.withColumns({"__w": words, "__lines": F.filter(F.split("__t", "\n"), lambda line: F.trim(line) != "")})
+    lines = F.filter(F.split("__t", "\n"), lambda line: F.trim(line) != "")
+    # a generator of one row: Spark moves no filter below it, so that texts are split once for all figures
+    base = base.select(*names, F.inline(F.array(F.struct(F.col("__t"), words.alias("__w"), lines.alias("__lines")))))
     share = lambda part, whole: F.expr(f"try_divide({part}, {whole})")
     counted = base.select(
         *[F.col(f"`{k}`") for k in keep],
