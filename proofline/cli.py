@@ -20,12 +20,30 @@ from .plans import engine
 from .sources import jsonl
 
 NAMES = ("phrases", "stylometry")
+FIGURES = ("n_words", "n_sentences", "burstiness", "short_sentence_rate", "mattr", "mean_word_len", "em_dash_per_kw", "phrase_rate", "triads")
+#: What figures on the demo tables can't show; they go with every report made from them.
+CAVEATS = (
+    "The demo tables are invented texts: figures on them describe the tables, not how good a detector is.",
+    "Human and AI texts of the tables differ in source and era as well as in who wrote them.",
+    "The rewrites of the pairs start from AI texts of the same tables, so the two tables are not independent.",
+)
 
 
 def _texts(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
-    if args.text is None and args.file is None:
+    given = args.text if args.given is None else args.given
+    if given is None and args.file is None:
         return jsonl.load_text(spark, text=sys.stdin.read())
-    return jsonl.load_text(spark, args.text, args.file)
+    return jsonl.load_text(spark, given, args.file)
+
+
+def _shown(df: DataFrame, args: argparse.Namespace, title: str, order: list[str] = ()) -> str:
+    return report.to_json(df.orderBy(*order) if order else df) if args.json else report.render_table(df, title, order)
+
+
+def _demo(spark: SparkSession, args: argparse.Namespace, name: str) -> DataFrame:
+    if not args.demo:
+        raise ValueError("give the files, or --demo with the folder of the demo tables")
+    return spark.read.parquet(f"{args.demo.rstrip('/')}/{name}.parquet")
 
 
 def _long(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -37,18 +55,31 @@ def _long(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def score(spark, args) -> str:
-    rows = _long(_texts(spark, args), ["doc_id"])
-    return report.render_table(rows.select("detector", "score", "reliable", "n_words", combine.verdict_band(F.col("score"), F.col("reliable")).alias("verdict")), "Scores", ["detector"])
+    texts = _texts(spark, args)
+    rows = _long(texts, ["doc_id"])
+    out = _shown(rows.select("detector", "score", "reliable", "n_words", combine.verdict_band(F.col("score"), F.col("reliable")).alias("verdict")), args, "Scores", ["detector"])
+    if not args.details:
+        return out
+    figures = detectors.scored(texts).select(*FIGURES, F.transform(detectors.top_hits(F.col("lexicon")), lambda h: F.concat(h["phrase"], F.lit(" x"), h["n"].cast("string"))).alias("phrases"))
+    return out + "\n\n" + (report.to_json(figures) if args.json else report.render([(k, ", ".join(v) if isinstance(v, list) else v) for k, v in figures.first().asDict().items()], ["figure", "value"], "Details"))
 
 
 def compare(spark, args) -> str:
-    df = spark.createDataFrame([(0, Path(args.original).read_text("utf-8")), (1, Path(args.rephrased).read_text("utf-8"))], "k int, text string")
+    texts = []
+    for name in ("original", "rephrased"):
+        given, file = getattr(args, name), getattr(args, f"{name}_file")
+        if (given is None) == (file is None):
+            raise ValueError(f"give either --{name} or --{name}-file")
+        texts.append(given if file is None else Path(file).read_text("utf-8"))
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
     p = _long(df, ["k"]).groupBy("detector").agg(F.max(F.when(F.col("k") == 0, F.col("score"))).alias("original"), F.max(F.when(F.col("k") == 1, F.col("score"))).alias("rephrased"))
-    return report.render_table(p.select("*", (F.col("original") - F.col("rephrased")).alias("delta"), evasion.outcome(F.col("original"), F.col("rephrased"), args.threshold).alias("outcome")), "Comparison", ["detector"])
+    return _shown(p.select("*", (F.col("original") - F.col("rephrased")).alias("delta"), evasion.outcome(F.col("original"), F.col("rephrased"), args.threshold).alias("outcome")), args, "Comparison", ["detector"])
 
 
 def benchmark(spark, args) -> str:
-    human, ai = jsonl.load_labeled(spark, args.human), jsonl.load_labeled(spark, args.ai)
+    human = jsonl.load_labeled(spark, args.human) if args.human else _demo(spark, args, "demo_human")
+    ai = jsonl.load_labeled(spark, args.ai) if args.ai else _demo(spark, args, "demo_ai")
+    demo = not (args.human and args.ai)
     if human.filter("label <> 0").limit(1).count() or ai.filter("label <> 1").limit(1).count():
         raise ValueError("--human must hold label 0 and --ai label 1 only")
     both = human.select("text", "label").unionByName(ai.select("text", "label"))
@@ -56,15 +87,18 @@ def benchmark(spark, args) -> str:
     result = metrics.evaluate(scored, args.threshold)
     out = report.render_benchmark(result)
     pairs = None
-    if args.pairs:
-        p = jsonl.load_pairs(spark, args.pairs).withColumn("pair_id", F.monotonically_increasing_id())
+    if args.pairs or args.demo:
+        given = jsonl.load_pairs(spark, args.pairs) if args.pairs else _demo(spark, args, "demo_evasion_pairs").select("original", "rephrased")
+        p = given.withColumn("pair_id", F.monotonically_increasing_id())
         x = p.select("pair_id", F.inline(F.array(F.struct(F.lit(0).alias("k"), F.col("original").alias("text")), F.struct(F.lit(1).alias("k"), F.col("rephrased").alias("text")))))
         w = _long(x, ["pair_id", "k"]).groupBy("pair_id", "detector").agg(F.max(F.when(F.col("k") == 0, F.col("score"))).alias("score_original"), F.max(F.when(F.col("k") == 1, F.col("score"))).alias("score_rephrased"))
         pairs = evasion.evasion_report(w, args.threshold)
         out += "\n\n" + report.render_table(pairs, "Evasion", ["detector"])
+    if demo:
+        out += "\n\n" + "\n".join(f"* {c}" for c in CAVEATS)
     if args.out:
         counts = both.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
-        Path(args.out).write_text(report.to_json(result, n_human=counts[0], n_ai=counts[1], threshold=args.threshold, evasion=None if pairs is None else [r.asDict() for r in pairs.collect()]), "utf-8")
+        Path(args.out).write_text(report.to_json(result, n_human=counts[0], n_ai=counts[1], threshold=args.threshold, caveats=list(CAVEATS) if demo else [], evasion=None if pairs is None else [r.asDict() for r in pairs.collect()]), "utf-8")
     return out
 
 
@@ -79,9 +113,16 @@ def _primary(spark, args):
 
 def analyze(spark, args) -> str:
     df = _texts(spark, args).withColumn("language", F.lit(args.language))
-    done = engine.analyze(df, _calibrations(spark, args.calibration), model=_primary(spark, args)).drop("change_point")
+    model = _primary(spark, args)
+    done = engine.analyze(df, _calibrations(spark, args.calibration), model=model, want_spans=not args.no_spans).drop("change_point")
+    if args.json:
+        return report.to_json(done)
+    more = ""
+    if args.spans and not args.no_spans:
+        score_, name = (engine.primary_detector(model), "primary") if model else (detectors.detector(engine.CORROBORATORS[0]), engine.CORROBORATORS[0])
+        more = "\n\n" + report.render_table(spans.span_scores(df, score_, name).select(F.posexplode("scores").alias("sentence", "score")), "Sentences", ["sentence"])
     row = done.first()
-    return report.render([(k, v if not isinstance(v, list) else ", ".join(v)) for k, v in row.asDict().items()], ["figure", "value"], "Analysis")
+    return report.render([(k, v if not isinstance(v, list) else ", ".join(v)) for k, v in row.asDict().items()], ["figure", "value"], "Analysis") + more
 
 
 def calibrate(spark, args) -> str:
@@ -100,13 +141,15 @@ def spans_(spark, args) -> str:
     model = _primary(spark, args)
     s = spans.span_scores(df, engine.primary_detector(model), "primary") if model else spans.span_scores(df, detectors.detector(args.detector), args.detector)
     ok = spans.reliable(F.col("n_windows"), F.col("total_words"))
-    whole = s.select("n_windows", "total_words", ok.alias("reliable"), spans.ai_word_fraction(F.col("scores"), F.col("n_words_of")).alias("ai_word_fraction"))
+    whole = s.select("n_windows", "total_words", ok.alias("reliable"), spans.ai_word_fraction(F.col("scores"), F.col("n_words_of"), args.threshold).alias("ai_word_fraction"))
+    if args.json:
+        return report.to_json(s.select("n_windows", "total_words", ok.alias("reliable"), spans.ai_word_fraction(F.col("scores"), F.col("n_words_of"), args.threshold).alias("ai_word_fraction"), "scores"))
     each = s.select(F.posexplode("scores").alias("sentence", "score"))
     return report.render_table(whole, "Spans") + "\n\n" + report.render_table(each, order=["sentence"], limit=report.SPAN_ROWS)
 
 
 def robustness(spark, args) -> str:
-    ai = jsonl.load_labeled(spark, args.ai).filter("label = 1").select(F.monotonically_increasing_id().alias("doc_id"), "text").persist()
+    ai = (jsonl.load_labeled(spark, args.ai) if args.ai else _demo(spark, args, "demo_ai")).filter("label = 1").select(F.monotonically_increasing_id().alias("doc_id"), "text").persist()
     if not ai.limit(1).count():
         raise ValueError("robustness needs AI-labeled texts")
     a = attacks.attack_table(ai, seed=args.seed).select("doc_id", "attack", "attacked")
@@ -142,20 +185,24 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument(flag, **more)
         c.set_defaults(run=run)
 
-    text = [("--text", {}), ("--file", {})]
+    flag = {"action": "store_true"}
+    text = [("given", {"nargs": "?", "metavar": "TEXT"}), ("--text", {}), ("--file", {})]
+    fast = ("--fast", flag | {"help": "skip detectors that need a model; the native ones need none"})
+    as_json = ("--json", flag)
+    demo = ("--demo", {"help": "folder of the demo tables, for what is not given as a file"})
     threshold = ("--threshold", {"type": float, "default": 0.5})
     cap = ("--fpr-cap", {"type": float, "default": conformal.FPR_CAP})
     train = ("--train", {"help": "labelled JSON lines (both labels) that the supervised primary is trained on"})
     need = {"required": True}
-    command("score", score, *text)
-    command("compare", compare, ("--original", need), ("--rephrased", need), threshold)
-    command("benchmark", benchmark, ("--human", need), ("--ai", need), ("--pairs", {}), ("--out", {}), threshold)
-    command("analyze", analyze, *text, ("--calibration", {}), ("--language", {"default": "en"}), train)
-    command("calibrate", calibrate, ("--human", need), cap, ("--language", {"default": "en"}), ("--out", {}), train)
-    command("spans", spans_, *text, ("--detector", {"default": "phrases"}), train)
-    command("robustness", robustness, ("--ai", need), ("--seed", {"type": int, "default": 0}), train)
-    command("fairness", fairness, ("--human", need), ("--group-by", need), threshold, cap, train)
-    command("detectors", detectors_)
+    command("score", score, *text, as_json, ("--details", flag), fast)
+    command("compare", compare, ("--original", {}), ("--original-file", {}), ("--rephrased", {}), ("--rephrased-file", {}), threshold, as_json, fast)
+    command("benchmark", benchmark, ("--human", {}), ("--ai", {}), ("--pairs", {}), ("--out", {}), threshold, demo, fast)
+    command("analyze", analyze, *text, ("--calibration", {}), ("--language", {"default": "en"}), train, ("--spans", flag), ("--no-spans", flag), as_json, fast)
+    command("calibrate", calibrate, ("--human", need), cap, ("--language", {"default": "en"}), ("--out", {}), train, fast)
+    command("spans", spans_, *text, ("--detector", {"default": "phrases"}), threshold, train, as_json, fast)
+    command("robustness", robustness, ("--ai", {}), ("--seed", {"type": int, "default": 0}), train, demo, fast)
+    command("fairness", fairness, ("--human", need), ("--group-by", {"default": "domain"}), threshold, cap, train, fast)
+    command("detectors", detectors_, fast)
     return p
 
 
