@@ -138,6 +138,10 @@ def occurrences(text: Column, needle: str) -> Column:
 
 
 def parsed(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``tokens``, ``sents`` and ``lengths`` of its text column, each built once and used by all features."""
-    df = df.withColumns({"tokens": words(F.col(text)), "sents": sentences(F.col(text))})
+    """``df`` with ``tokens``, ``sents`` and ``lengths`` of its text column, each built once and used by all features.
+
+    They come from a generator of one row, below which Spark moves no filter: a filter on a score would otherwise repeat
+    the parsing for each place the score names."""
+    made = F.struct(words(F.col(text)).alias("tokens"), sentences(F.col(text)).alias("sents"))
+    df = df.drop("tokens", "sents", "lengths").select("*", F.inline(F.array(made)))
     return df.withColumn("lengths", F.transform(sentence_lengths(F.col("sents")), lambda n: n.cast("double")))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import combine, detectors, features, normalize
 from ..operators import conformal, spans, supervised, verdict
 from ..operators.supervised import LogisticModel
-from ..scratch import written
+from ..scratch import once, written
 
 CORROBORATORS = ("phrases", "stylometry")
 PRIMARY_KEYS = [*features.NAMES, *(f"detector_{n}" for n in CORROBORATORS)]
@@ -52,7 +52,7 @@ def score_texts(df: DataFrame, text: str = "text", model: LogisticModel | None =
     kept = df.columns
     hits = detectors.normalized_lexicon_hits(normalize.mapped(F.col(text))) if defended else detectors.lexicon_hits(F.col(text))
     used = df.withColumns({"_t": normalize.normalized(F.col(text)) if defended else F.col(text), "_hits": hits})
-    return _scores(used, "_t", model, "_hits").select(*kept, blended().alias("score"))
+    return once(_scores(used, "_t", model, "_hits").select(*kept, blended().alias("score")))
 
 
 def analyze(df: DataFrame, calibrations: DataFrame, key: str = "doc_id", text: str = "text", language: str = "language", model: LogisticModel | None = None, provenance: str | None = None, want_spans: bool = True) -> DataFrame:
@@ -67,6 +67,7 @@ def analyze(df: DataFrame, calibrations: DataFrame, key: str = "doc_id", text: s
         key, "language", "provenance", "is_suspicious", "homoglyphs_replaced", "invisibles_removed", "n_words", "primary", *[f"{n}_score" for n in CORROBORATORS],
         combine.with_provenance(blended(), F.col("provenance")).alias("score"), gap.alias("ood_gap"), combine.is_ood(gap).alias("is_ood"),
     )
+    scored = once(scored)
     if want_spans:
         name = CORROBORATORS[0] if model is None else "primary"
         score = detectors.detector(name) if model is None else primary_detector(model)

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -60,3 +61,9 @@ def spread(df: DataFrame) -> DataFrame:
     Larger tables have splits enough and are not moved. For work that costs far more than moving the rows."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < ROW_GROUP else df
+
+
+def once(df: DataFrame) -> DataFrame:
+    """``df`` through a generator of one row, below which Spark moves no filter: a filter on a column that is the end of a
+    long chain of expressions would otherwise repeat the chain for each place that names it."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))

@@ -4,6 +4,7 @@ import json
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from proofline import cli
 from proofline.operators.supervised import LogisticModel
@@ -68,3 +69,11 @@ def test_command_line_trains(spark, tmp_path, capsys):
     assert cli.main(["analyze", *text], spark) == 0
     assert any(line.split()[:2] == ["primary", "n/a"] for line in capsys.readouterr().out.splitlines())
     assert cli.main(["spans", *text, "--train", str(train)], spark) == 0
+
+
+def test_filter_on_a_score_ends(spark):
+    """A filter above the pipeline must not repeat what the score is made of."""
+    model = LogisticModel(["question_per_kw"], [1.0], 0.0, {"question_per_kw": (60.0, 1.0)})
+    df = spark.createDataFrame([(0, HALF), (1, " ".join([ASKED] * 36))], "doc_id bigint, text string")
+    got = engine.score_texts(df, model=model).withColumn("r", F.round("score", 3)).filter("r > 0.5").collect()
+    assert [r.doc_id for r in got] == [1]
