@@ -588,12 +588,9 @@ def attack_all(spark, folder):
 
 @query
 def robustness(spark, folder):
-    a = _attacked(spark, folder).withColumns({"_d": normalize.normalized(F.col("attacked"))})
-    model = _primary(spark, folder)
-    base = engine.score_texts(table(spark, folder, "demo_ai").select("doc_id", "text"), model=model).select("doc_id", F.col("score").alias("baseline"))
-    raw = engine.score_texts(a.select("doc_id", "attack", "attacked"), "attacked", model, defended=False).select("doc_id", "attack", F.col("score").alias("undefended"))
-    safe = engine.score_texts(a.select("doc_id", "attack", "attacked"), "attacked", model).select("doc_id", "attack", F.col("score").alias("defended"))
-    return evasion.robustness_report(raw.join(safe, ["doc_id", "attack"]).join(base, "doc_id"))
+    """Every AI text under each attack, scored by the engine with its primary, with and without normalisation."""
+    model = engine.fit_primary_plain(docs(spark, folder))
+    return engine.robustness(spread(table(spark, folder, "demo_ai").select("text")), model=model)
 
 
 # --- spans -------------------------------------------------------------------------------------------------------------
