@@ -15,7 +15,7 @@ from ..functions import combine, detectors, features, normalize
 from ..functions import text as T
 from ..operators import attacks, conformal, evasion, metrics, spans, supervised, verdict
 from ..scratch import folder as scratch_folder
-from ..scratch import spread, written
+from ..scratch import dealt, spread, written
 from ..sources import jsonl
 from . import engine
 
@@ -589,8 +589,8 @@ def attack_all(spark, folder):
 @query
 def robustness(spark, folder):
     """Every AI text under each attack, scored by the engine with its primary, with and without normalisation."""
-    model = engine.fit_primary_plain(docs(spark, folder))
-    return engine.robustness(spread(table(spark, folder, "demo_ai").select("text")), model=model)
+    model = engine.fit_primary_plain(dealt(table(spark, folder, "documents").select("text", "label")))
+    return engine.robustness(dealt(table(spark, folder, "demo_ai").select("text")), model=model)
 
 
 # --- spans -------------------------------------------------------------------------------------------------------------

@@ -63,6 +63,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < ROW_GROUP else df
 
 
+def dealt(df: DataFrame, share: int = 4 << 20) -> DataFrame:
+    """``df`` in parts of about ``share`` bytes, four per core at least, however its files and row groups are cut: a large
+    file may be one row group, which one task would read. For work that costs far more than moving the rows."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, min(size // share, 10_000)))
+
+
 def once(df: DataFrame) -> DataFrame:
     """``df`` through a generator of one row, below which Spark moves no filter: a filter on a column that is the end of a
     long chain of expressions would otherwise repeat the chain for each place that names it."""
